@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import license_rules, quality_rules, token_counts
+from byteloom.llm import decontaminate, license_rules, quality_rules, simhash_dedup, token_counts
 from byteloom.llm.common import table
 
 
@@ -28,8 +28,16 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_quality_rules, op6_token_counts)}
+    return {f.__name__: f for f in (op2_license_scan, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
