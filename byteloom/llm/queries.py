@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import decontaminate, license_rules, quality_rules, simhash_dedup, token_counts
+from byteloom.llm import decontaminate, license_rules, mixing, quality_rules, simhash_dedup, token_counts, warc
 from byteloom.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -36,8 +40,12 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_license_scan, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup)}
+    return {f.__name__: f for f in (op2_license_scan, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
