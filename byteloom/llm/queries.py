@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import decontaminate, html_extract, license_rules, mixing, quality_rules, simhash_dedup, token_counts, warc
+from byteloom.llm import decontaminate, html_extract, license_rules, mixing, quality_classifier, quality_rules, simhash_dedup, token_counts, warc
 from byteloom.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_rules.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.quality_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -49,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_license_scan, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
