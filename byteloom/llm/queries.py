@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from byteloom.llm import decontaminate, html_extract, license_rules, mixing, quality_classifier, quality_rules, simhash_dedup, token_counts, warc
+from byteloom.llm import decontaminate, html_extract, license_rules, lm_score, mixing, quality_classifier, quality_rules, simhash_dedup, token_counts, warc
 from byteloom.llm.common import table
 
 
@@ -52,8 +52,14 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc)}
+    return {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc, op10_lm_scoring)}
 
 
 def oracle_sql() -> dict[str, str]:
