@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from byteloom.llm.common import tune
 
 #: Documents that tier one is gathered from, at most about so many; pre-tokens it holds, at most so many.
-SAMPLE_DOCS, TABLE_SIZE = 4096, 32768
+SAMPLE_DOCS, TABLE_SIZE = 1024, 32768
 #: Pre-tokens that one worker's cache holds before it starts anew, and the longest one that it keeps.
 CACHE_SIZE, CACHE_CHARS = 1 << 18, 64
 
@@ -104,11 +104,9 @@ def frequent(docs: DataFrame, path: str, text_col: str = "text", sample_docs: in
         top = seen.most_common(size)
         yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in top], pa.string()), pa.array([n for _, n in top], pa.int64()), pa.array([own[p] for p, _ in top], pa.int64())], ["piece", "n", "tokens"])
 
-    found, tokens = Counter(), {}
-    for r in some.mapInArrow(gather, "piece string, n long, tokens long").collect():
-        found[r["piece"]] += r["n"]
-        tokens[r["piece"]] = r["tokens"]
-    return {p: tokens[p] for p, _ in found.most_common(size)}
+    table = some.mapInArrow(gather, "piece string, n long, tokens long").toArrow()
+    top = table.group_by("piece").aggregate([("n", "sum"), ("tokens", "max")]).sort_by([("n_sum", "descending"), ("piece", "ascending")]).slice(0, size)
+    return dict(zip(top["piece"].to_pylist(), top["tokens_max"].to_pylist(), strict=True))
 
 
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = 512) -> DataFrame:
