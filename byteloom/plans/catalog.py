@@ -1,4 +1,8 @@
-"""The registered queries of the detection engine and their SQL twins."""
+"""The registered queries of the detection engine and their SQL twins for DuckDB.
+
+The tables have no binary column, so queries on signatures put a prefix, chosen by the document's id,
+before each text; both engines build the same bytes.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,99 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from byteloom.functions import bytes_fns as B
+from byteloom.operators.detect import detect_deterministic
+
+#: Prefixes that the cases get in turn, in hexadecimal.
+PREFIXES = (
+    "", "EFBBBF", "FEFF", "FFFE", "0000FEFF", "FFFE0000", "89504E470D0A1A0A", "474946383961", "1F8B", "1B2442", "255044462D", "00000018667479706D703432",
+    "524946460000000057454250", "0001020304050607", "CAFEBABE00000003", "CAFEBABE00000034", "1B284920", "1B242943", "0000001866747970617669662020", "464F524D0000000041494643",
+)
+
+
+def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.pmod("doc_id", F.lit(len(PREFIXES))) + 1).cast("int"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.concat(F.unhex(prefix), F.col("text").cast("binary")).alias("content"))
+
+
+CASES = f"WITH cases AS (SELECT doc_id, unhex(([{', '.join(repr(p) for p in PREFIXES)}])[(doc_id % {len(PREFIXES)}) + 1]) || encode(text) AS content, hex(content) AS h FROM documents) "
+
 
 def encoding_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    html = F.lower(F.col("html"))
-    charset = F.regexp_extract(html, r"<meta\s+charset=[\"']?([a-z0-9_-]+)", 1)
-    return spark.read.parquet(f"{sf_dir}/pages.parquet").groupBy(charset.alias("encoding")).agg(F.count("*").alias("n_pages"))
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("html").cast("binary").alias("content"))
+    found = B.declared(F.col("content"))
+    return pages.groupBy(F.lower(found["name"]).alias("encoding"), found["mime"].alias("mime_type")).agg(F.count("*").alias("n_pages"))
+
+
+def q_bom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, sf_dir).select("doc_id", B.bom(F.col("content")).alias("encoding"))
+
+
+def q_magic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, sf_dir).select("doc_id", B.magic(F.col("content")).alias("mime_type"))
+
+
+def q_iso2022(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, sf_dir).select("doc_id", B.escapes(F.col("content")).alias("encoding"))
+
+
+def q_byte_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = F.col("content")
+    return cases(spark, sf_dir).select("doc_id", F.octet_length(c).cast("long").alias("n_bytes"), B.count_bytes(c, r"\x80-\xff").alias("n_high"), B.count_bytes(c, r"\x00-\x08\x0e-\x1f").alias("n_control"))
+
+
+def q_binary_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cases(spark, sf_dir).select("doc_id", (B.count_bytes(F.col("content"), r"\x00-\x08\x0e-\x1f") / F.octet_length("content") > 0.01).alias("many_controls"))
+
+
+def q_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", B.ascii_confidence(F.col("text").cast("binary")).alias("confidence"))
+
+
+def q_utf8_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.round(B.utf8_confidence(F.col("text").cast("binary")), 9).alias("confidence"))
+
+
+def q_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect_deterministic(cases(spark, sf_dir)).select("doc_id", "detected.encoding", "detected.confidence", "detected.mime_type")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"encoding_summary": encoding_summary}
+    return {f.__name__: f for f in (encoding_summary, q_bom, q_magic, q_iso2022, q_byte_profile, q_binary_flag, q_ascii, q_utf8_confidence, q_detect)}
+
+
+def _bytes(kinds: str) -> str:
+    return f"CAST(len(list_filter(regexp_extract_all(h, '..'), lambda x: {kinds})) AS BIGINT)"
+
+
+_CONTROL = "x < '09' OR (x >= '0E' AND x < '20')"
 
 
 def oracle_sql() -> dict[str, str]:
+    marks = " ".join(f"WHEN starts_with(h, '{s}'){' AND (octet_length(content) - 4) % 4 = 0' if e == 'utf-32' else ''} THEN '{e}'" for s, e in B.BOMS)
+    hexed = lambda pairs: " ".join(f"WHEN '{n.encode().hex().upper()}' THEN '{m}'" for n, m in pairs)
+    n, box, tag = "octet_length(content)", "CAST(('0x' || substr(h, 1, 8)) AS BIGINT)", "substr(h, 17, 8)"
+    signs = " ".join(f"WHEN starts_with(h, '{s}') THEN '{m}'" for s, m in B.SIGNATURES)
+    magic = (
+        f"CASE WHEN {n} >= 12 AND substr(h, 9, 8) = '66747970' AND {box} BETWEEN 8 AND {n} THEN CASE {tag} {hexed(B.BRANDS)} ELSE 'video/mp4' END "
+        f"WHEN {n} >= 12 AND starts_with(h, '52494646') AND {tag} IN ('57454250', '57415645', '41564920') THEN CASE {tag} {hexed(B.RIFF)} END "
+        f"WHEN {n} >= 12 AND starts_with(h, '464F524D') AND {tag} IN ('41494646', '41494643') THEN 'audio/aiff' "
+        f"WHEN starts_with(h, '504B0304') THEN 'application/zip' "
+        f"WHEN {n} >= 8 AND starts_with(h, 'CAFEBABE') THEN CASE WHEN CAST(('0x' || substr(h, 9, 8)) AS BIGINT) <= 20 THEN 'application/x-mach-binary' ELSE 'application/java-vm' END "
+        f"{signs} WHEN {n} >= 263 AND substr(h, 515, 12) IN ('757374617200', '757374617220') THEN 'application/x-tar' END"
+    )
+    esc = " ".join(f"WHEN {' OR '.join(f"regexp_matches(h, '^(..)*1B{m}')" for m in marks_)} THEN " + (f"CASE WHEN regexp_matches(h, '^(..)*0E') AND regexp_matches(h, '^(..)*0F') THEN 'iso2022_jp_ext' ELSE '{e}' END" if e == "iso2022_jp_2" else f"'{e}'") for marks_, e in B.ESCAPES)
+    plain = r"regexp_replace(text, '[\t\n\r\x20-\x7e]', '', 'g')"
+    high = r"(strlen(text) - length(regexp_replace(text, '[^\x00-\x7f]', '', 'g')))"
     return {
-        "encoding_summary": r"SELECT regexp_extract(lower(html), '<meta\s+charset=[\"'']?([a-z0-9_-]+)', 1) AS encoding, count(*) AS n_pages FROM pages GROUP BY 1"
+        "encoding_summary": r"""SELECT lower(regexp_extract(html, '(?i)<meta[^>]+charset[ \t\r\n]*=[ \t\r\n]*[''"]?[ \t\r\n]*([^ \t\r\n''">;]+)', 1)) AS encoding, 'text/html' AS mime_type, count(*) AS n_pages FROM pages GROUP BY 1, 2""",
+        "q_bom": f"{CASES} SELECT doc_id, CASE {marks} END AS encoding FROM cases",
+        "q_magic": f"{CASES} SELECT doc_id, {magic} AS mime_type FROM cases",
+        "q_iso2022": f"{CASES} SELECT doc_id, CASE {esc} END AS encoding FROM cases",
+        "q_byte_profile": f"{CASES} SELECT doc_id, CAST({n} AS BIGINT) AS n_bytes, {_bytes("x >= '80'")} AS n_high, {_bytes(_CONTROL)} AS n_control FROM cases",
+        "q_binary_flag": f"{CASES} SELECT doc_id, {_bytes(_CONTROL)} / {n} > 0.01 AS many_controls FROM cases",
+        "q_ascii": f"SELECT doc_id, CASE WHEN text = '' THEN NULL WHEN length({plain}) = 0 THEN CAST(1.0 AS DOUBLE) END AS confidence FROM documents",
+        "q_utf8_confidence": f"SELECT doc_id, round(CASE WHEN {high} > 0 THEN least(CAST(0.99 AS DOUBLE), CAST(0.80 AS DOUBLE) + CAST(0.19 AS DOUBLE) * least(CAST({high} AS DOUBLE) / strlen(text) * 6.0, 1.0)) END, 9) AS confidence FROM documents",
     }
