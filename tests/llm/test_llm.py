@@ -6,6 +6,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pytest
@@ -23,6 +24,7 @@ def prose(n):
     return " ".join(RNG.choice(VOCAB) + ("." if k % 9 == 8 else "") for k in range(n))
 
 
+@cache
 def corpus():
     base = [prose(RNG.randint(60, 200)) for _ in range(40)]
     texts = [None, "", " \n ", "one", "two words", *base, *base[:6], *(b + " tail" for b in base[:4]), "same line\n" * 60, "WOW!! " * 90, prose(6000), "Under the MIT License. Apache License, Version 2.0 cc-by-nc", "x<|endoftext|>y 中文"]
