@@ -133,4 +133,5 @@ def detect_stream(df: DataFrame, options: Options | None = None, models: Models
     kind = df.schema["stream_id"].dataType.simpleString()
     timeout = GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout
     closed = df.groupBy("stream_id").applyInPandasWithState(run, f"stream_id {kind}, content binary, truncated boolean", "content binary, truncated boolean", "append", timeout)
-    return detect(closed, options=options, models=models, truncated=F.col("truncated")).drop("content")
+    # The filter keeps every row; it turns the rows of the stateful step into the binary form that an Arrow UDF reads.
+    return detect(closed.where(F.col("content").isNotNull()), options=options, models=models, truncated=F.col("truncated")).drop("content")
