@@ -72,6 +72,25 @@ def profile(data: bytes, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return seen, counts[seen].astype(np.int64) * idf[seen]
 
 
+def bigram_counts(df: DataFrame, content: str = "content") -> DataFrame:
+    """(pair, n): adjacent byte pairs (four hexadecimal digits) of all values, but for a blank that repeats.
+
+    Each task adds up one table of 65536 counts, so the shuffle holds at most that many rows a task. Nulls count as empty.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(65536, np.int64)
+        for batch in batches:
+            for value in batch.column(0):
+                data = value.as_py()
+                for k in range(0, len(data or b"") - 1, 1 << 20):
+                    total += bigrams(data[k : k + (1 << 20) + 1])
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array([f"{k:04X}" for k in seen], pa.string()), pa.array(total[seen], pa.int64())], ["pair", "n"])
+
+    return df.select(content).mapInArrow(run, "pair string, n long").groupBy("pair").agg(F.sum("n").alias("n"))
+
+
 def count_pairs(docs: DataFrame, text: str = "text", lang: str = "lang", pairs: int = PAIRS) -> DataFrame:
     """(lang, pair, n): the commonest character pairs of each language over all texts."""
 

@@ -116,10 +116,7 @@ def q_text_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_bigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adjacent byte pairs of all texts, but for blanks that repeat, counted; pairs are at most 65536 rows."""
-    hexed = F.hex("content")
-    pairs = F.when(F.octet_length("content") > 1, F.transform(F.sequence(F.lit(1), F.octet_length("content") - 1), lambda i: F.hex(F.substring(F.col("content"), i, F.lit(2)))))
-    blanks = [f"{x:02X}{x:02X}" for x in M.BLANKS]
-    return _texts(spark, sf_dir).where(hexed.isNotNull()).select(F.explode(pairs).alias("pair")).where(~F.col("pair").isin(blanks)).groupBy("pair").agg(F.count("*").alias("n"))
+    return M.bigram_counts(_texts(spark, sf_dir))
 
 
 def q_differing_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,11 @@ def test_golden_through_spark(spark):
             assert got[k]["confidence"] == pytest.approx(confidence, abs=1e-12)
 
 
+def test_bigram_counts(spark):
+    df = spark.createDataFrame([(bytearray(b"abab  c"),), (bytearray(b"a"),), (None,), (bytearray(b""),)], "content binary")
+    assert {bytes.fromhex(r["pair"]): r["n"] for r in M.bigram_counts(df).collect()} == {b"ab": 2, b"ba": 1, b"b ": 1, b" c": 1}
+
+
 def test_empty_table(spark, models):
     df = spark.createDataFrame([], "k int, content binary")
     assert detect(df, models=models).count() == 0 and detect_all(df).count() == 0
