@@ -142,7 +142,7 @@ def q_identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text in cp1252, ranked; characters it lacks become question marks."""
+    """Every text in Latin-1, ranked; characters that it lacks become question marks."""
     models = M.train(_table(spark, sf_dir, "documents"))
     plain = F.encode(F.regexp_replace("text", "[^\\x00-\\x7f\\xa0-\\xff]", "?"), "ISO-8859-1")
     return detect_all_rows(_table(spark, sf_dir, "documents").select("doc_id", plain.alias("content")), models=models).drop("content")
