@@ -49,7 +49,7 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +62,34 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_html_extract, op2_license_scan, op3_quality_classifier, op4_mixing, op5_quality_rules, op6_token_counts, op7_decontaminate, op8_simhash_dedup, op9_warc, op10_lm_scoring)}
 
 
+#: Lower-case words of letters, digits and code points from 128, as decontaminate.words takes them.
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP7_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT q, item_id, w, least({decontaminate.WORDS}, len(w)) AS k FROM (SELECT row_number() OVER () AS q, item_id, {_WORDS} AS w FROM benchmark) WHERE len(w) > 0),
+item_shingles AS (
+  SELECT DISTINCT q, item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS s FROM items),
+sizes AS (SELECT q, count(*) AS n_item FROM item_shingles GROUP BY q),
+doc_shingles AS (
+  SELECT DISTINCT r, doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda x: array_to_string(w[x:x + k - 1], ' '))) AS s
+  FROM docs, (SELECT DISTINCT k FROM items))
+SELECT doc_id, item_id, count(*) AS n_shared, n_item, count(*) / n_item AS containment
+FROM doc_shingles JOIN item_shingles USING (k, s) JOIN sizes USING (q)
+GROUP BY r, doc_id, q, item_id, n_item
+HAVING count(*) >= ceil({decontaminate.SIMILARITY} * n_item - 1e-9)
+"""
+
+OP9_SQL = f"""
+WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+firsts AS (SELECT digest, max(page_id) AS first FROM payloads WHERE n >= {warc.MIN_REVISIT} GROUP BY digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first <> page_id THEN first END AS refers_to
+FROM payloads LEFT JOIN firsts USING (digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """None yet: every one of these has a learnt or iterative part, tested against brute force instead."""
-    return {}
+    """Those without a learnt or iterative part; the others are tested against brute force."""
+    return {"op7_decontaminate": OP7_SQL, "op9_warc": OP9_SQL}
