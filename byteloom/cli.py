@@ -1,6 +1,6 @@
 """Command line: one line a file, or for standard input.
 
-    python -m byteloom.cli [-l] [-m] [-e ERAS] [-i NAMES] [-x NAMES] [--minimal | --raw] [FILE ...]
+    python -m byteloom.cli [-l] [-m] [-e ERAS] [-i NAMES] [-x NAMES] [--minimal | --raw] [--models FILE [--weights FILE]] [FILE ...]
 """
 
 from __future__ import annotations
@@ -12,10 +12,11 @@ from functools import reduce
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from byteloom import __version__
 from byteloom.functions.ranking import Options
 from byteloom.functions.registry import Era
 from byteloom.operators.identify import detect
-from byteloom.sources import files
+from byteloom.sources import files, model_files
 
 
 def options_of(args: argparse.Namespace) -> Options:
@@ -36,6 +37,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--raw", action="store_true")
     p.add_argument("--no-match-encoding", default="cp1252")
     p.add_argument("--empty-input-encoding", default="utf-8")
+    p.add_argument("--models", help="a models file")
+    p.add_argument("--weights", help="the weights file of --models")
+    p.add_argument("--version", action="version", version=f"byteloom {__version__}")
     return p
 
 
@@ -44,7 +48,8 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     try:
         options = options_of(args)
-    except (ValueError, KeyError) as e:
+        models = model_files.load_models(args.models, args.weights) if args.models else None
+    except (ValueError, KeyError, OSError) as e:
         print(e, file=sys.stderr)
         return 2
     spark = SparkSession.builder.config("spark.ui.enabled", "false").getOrCreate()
@@ -60,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
         inputs.append(("stdin", sys.stdin.buffer.read()))
     if not inputs:
         return 1
-    df = detect(spark.createDataFrame([(k, n, bytearray(b)) for k, (n, b) in enumerate(inputs)], "k int, label string, content binary"), options=options)
+    df = detect(spark.createDataFrame([(k, n, bytearray(b)) for k, (n, b) in enumerate(inputs)], "k int, label string, content binary"), options=options, models=models)
     label, found = F.col("label"), F.col("detected")
     line = files.raw_line(label, found) if args.raw else files.minimal_line(found, args.language, args.mime_type) if args.minimal else files.text_line(label, found, args.language, args.mime_type)
     for r in df.select("k", line.alias("line")).orderBy("k").toLocalIterator():

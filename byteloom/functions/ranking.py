@@ -301,11 +301,11 @@ class Detector:
         return again[1] if again and (own is None or again[1] not in RARE) else own[1] if own else None
 
     def finish(self, data: bytes, ranked: list[Result]) -> list[Result]:
-        """Languages, default types, and confidences held to 1."""
+        """Languages (zxx: none), default types, and confidences held to 1."""
         out = []
         for encoding, confidence, language, mime in ranked:
             language = language or (self.language(data, encoding) if encoding else None)
-            out.append((encoding, min(1.0, confidence), language, mime or ("text/plain" if encoding else "application/octet-stream")))
+            out.append((encoding, min(1.0, confidence), None if language == "zxx" else language, mime or ("text/plain" if encoding else "application/octet-stream")))
         return out
 
     def names(self, data: bytes, result: Result) -> Result:
