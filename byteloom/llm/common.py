@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 #: Rows and bytes of one Arrow batch; bounds a Python worker's memory whatever the length of the texts.
 BATCH_ROWS, BATCH_BYTES = 512, 16 << 20
+#: The column that holds a document's own columns.
+DOC = "__doc"
 
 
 def tune(spark: SparkSession) -> None:
@@ -66,5 +68,10 @@ def utf8(name: str) -> Column:
     return F.coalesce(F.col(name), F.lit("")).cast("binary")
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """docs as the one struct column DOC, so that no name of theirs meets a name of ours; unpacked by select(DOC.*)."""
+    return docs.select(F.struct(*(F.col(f"`{c.replace('`', '``')}`") for c in docs.columns)).alias(DOC))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -27,8 +27,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
-from byteloom.llm.common import materialize, tune, utf8
+from byteloom.llm.common import DOC, materialize, packed, tune, utf8
 from byteloom.llm.license_rules import NORMAL
 
 WORDS, SIMILARITY = 5, 0.8
@@ -103,7 +105,7 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
         yield block
 
 
-def _matched(docs: DataFrame, keep: list[str], block: list, item_type: str, text_col: str, negate: bool) -> DataFrame:
+def _matched(docs: DataFrame, keep: list[str], block: list, item_type: DataType, text_col: str, negate: bool) -> DataFrame:
     spark = docs.sparkSession
     tune(spark)
     shared = spark.sparkContext.broadcast(block)
@@ -127,15 +129,15 @@ def _matched(docs: DataFrame, keep: list[str], block: list, item_type: str, text
             which = pa.array([i for i, x in enumerate(batch.column(n).to_pylist()) if not sketches().matches(x)], pa.int64())
             yield pa.RecordBatch.from_arrays([c.take(which) for c in batch.columns[:n]], batch.schema.names[:n])
 
-    pa_item = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_type]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    pa_item = to_arrow_type(item_type)
+    schema = docs.select(*keep).schema
     rows = docs.select(*keep, utf8(text_col).alias("__content"))
-    return rows.mapInArrow(clean, schema) if negate else rows.mapInArrow(pairs, f"{schema}, item_id {item_type}, n_shared long, n_item long")
+    return rows.mapInArrow(clean, schema) if negate else rows.mapInArrow(pairs, schema.add("item_id", item_type).add("n_shared", "long").add("n_item", "long"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Pairs (document, item) with the containment of the item in the document, 0.8 or more."""
-    kind = items.schema[item_col].dataType.simpleString()
+    kind = items.schema[item_col].dataType
     out = None
     for block in _blocks(items, item_col, text_col):
         part = _matched(docs, [id_col], block, kind, text_col, False)
@@ -147,7 +149,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", item
 
 def filter_documents(docs: DataFrame, items: DataFrame, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The documents that hold no item, with all their columns."""
-    kind, out = items.schema[item_col].dataType.simpleString(), docs
+    kind, out = items.schema[item_col].dataType, packed(docs)
     for k, block in enumerate(_blocks(items, item_col, text_col)):
-        out = _matched(materialize(out, "clean") if k else out, docs.columns, block, kind, text_col, True)
-    return out
+        out = _matched(materialize(out, "clean") if k else out, [DOC], block, kind, f"{DOC}.{text_col}", True)
+    return out.select(f"{DOC}.*")

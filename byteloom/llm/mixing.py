@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import materialize
+from byteloom.llm.common import DOC, materialize, packed
 
 WEIGHTS, TOTAL, MOST = (3, 1, 2), 1.5, 2.0
 MAX_SOURCES = 1_000_000
@@ -140,8 +140,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """The documents of the mix with all their columns, and how often each is to be repeated."""
+    """The documents of the mix with all their columns, and how often each is to be repeated.
+
+    Columns of docs named mix_copies or mix_taken give way to the new ones.
+    """
+    own = [F.col(f"{DOC}.`{c.replace('`', '``')}`").alias(c) for c in docs.columns if c.lower() not in ("mix_copies", "mix_taken")]
     buckets = _buckets(docs)
-    rows = with_cell(docs, id_col, source_col, text_col, buckets)
+    rows = with_cell(packed(docs), f"{DOC}.{id_col}", f"{DOC}.{source_col}", f"{DOC}.{text_col}", buckets)
     cells, _ = plan(materialize(rows.select("__key", "__size", "__octave", "__bucket", "__hash"), "sized"), buckets)
-    return _decide(rows, cells).where("__copies > 0").select(*docs.columns, F.col("__copies").alias("mix_copies"), (F.col("__copies") * F.col("__size")).alias("mix_taken"))
+    return _decide(rows, cells).where("__copies > 0").select(*own, F.col("__copies").alias("mix_copies"), (F.col("__copies") * F.col("__size")).alias("mix_taken"))

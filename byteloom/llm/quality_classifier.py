@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from byteloom.llm import vote_em
-from byteloom.llm.common import materialize, tune, utf8
+from byteloom.llm.common import DOC, materialize, packed, tune, utf8
 
 #: Documents that the scorer is trained on, at most about so many.
 SAMPLE = 4096
@@ -221,7 +221,6 @@ def rated(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
     spark = docs.sparkSession
     model, w, b = fit(docs, text_col)
     shared = spark.sparkContext.broadcast((model, w, b))
-    schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, w, b = shared.value
@@ -231,7 +230,7 @@ def rated(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame
             got = [own.score(x, b) for x in batch.column(n).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([float(s) for s, _ in got], pa.float64()), pa.array([model.posterior(v) for _, v in got], pa.float64())], [*batch.schema.names[:n], "__score", "__label"])
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__score double, __label double"])
+    out = docs.select(*keep).schema.add("__score", "double").add("__label", "double")
     return docs.select(*keep, utf8(text_col).alias("__content")).mapInArrow(run, out)
 
 
@@ -246,4 +245,4 @@ def quality_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that the scorer rates good, with all their columns."""
-    return rated(docs, docs.columns, text_col).where(kept()).select(*docs.columns)
+    return rated(packed(docs), [DOC], f"{DOC}.{text_col}").where(kept()).select(f"{DOC}.*")

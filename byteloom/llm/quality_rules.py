@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from byteloom.llm import vote_em
-from byteloom.llm.common import let, materialize
+from byteloom.llm.common import DOC, let, materialize, packed
 
 SPACE = " \t\n\u000b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -156,5 +156,5 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents that pass, with all their columns."""
-    seen = annotate(docs, docs.columns, text_col)
-    return seen.where(kept(fit(seen))).select(*docs.columns)
+    seen = annotate(packed(docs), [DOC], f"{DOC}.{text_col}")
+    return seen.where(kept(fit(seen))).select(f"{DOC}.*")

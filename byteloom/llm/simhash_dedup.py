@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import materialize, tune, utf8
+from byteloom.llm.common import DOC, materialize, packed, tune, utf8
 from byteloom.llm.components import connected_components
 
 BITS, RADIUS, SEED = 3, 1, 42
@@ -54,7 +54,6 @@ def simhash(content: bytes) -> int:
 def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
     """keep columns and fp, the fingerprint as a signed long; written to the shared folder."""
     tune(docs.sparkSession)
-    schema = docs.select(*keep).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -62,7 +61,7 @@ def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text") -> Da
             fps = np.fromiter((simhash(x) for x in batch.column(n).to_pylist()), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(fps.view(np.int64))], [*batch.schema.names[:n], "__fp"])
 
-    out = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema), "__fp long"])
+    out = docs.select(*keep).schema.add("__fp", "long")
     return materialize(docs.select(*keep, utf8(text_col).alias("__content")).mapInArrow(run, out), "fingerprints")
 
 
@@ -237,7 +236,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def filter_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """One document of each component, with all its columns: the first in file order."""
-    keyed = docs.withColumn("__row", F.monotonically_increasing_id())
-    prints = fingerprints(keyed, [*docs.columns, "__row"], text_col)
+    keyed = packed(docs).withColumn("__row", F.monotonically_increasing_id())
+    prints = fingerprints(keyed, [DOC, "__row"], f"{DOC}.{text_col}")
     first = classes(prints.select("__fp", "__row"), "__row").select(F.col("component_id").alias("__first")).distinct()
-    return prints.join(first, F.col("__row") == F.col("__first"), "left_semi").select(*docs.columns)
+    return prints.join(first, F.col("__row") == F.col("__first"), "left_semi").select(f"{DOC}.*")
