@@ -1,9 +1,51 @@
 """The language model does its whole job."""
 
-from byteloom.llm import attention_lm
+import zlib
+
+import numpy as np
+import pytest
+
+from byteloom.llm import attention_lm, lm_score
+from byteloom.llm import queries as q
 
 
 def test_widths_of_the_first_version():
     assert (attention_lm.D, attention_lm.HIDDEN) >= (24, 48)
     p = attention_lm.initial()
     assert p["E"].shape == (4096, 24) and p["W1"].shape == (24, 48)
+
+
+def test_every_training_document_trains_the_network(spark, monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    totals = []
+    mean = attention_lm.mean
+    monkeypatch.setattr(attention_lm, "mean", lambda total, old: (totals.append(total), mean(total, old))[1])
+    monkeypatch.setattr(attention_lm, "LEAST", 1)
+    docs = spark.range(9000).selectExpr("id AS doc_id", "concat('text number ', id, ' of many') AS text").repartition(3)
+    assert lm_score.lm_scores(docs, q.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 9000
+    own = lm_score.subwords(q.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    texts = [own.text(f"text number {k} of many".encode().split()) for k in range(9000) if zlib.crc32(str(k).encode()) % 7 != 2]
+    assert sum(t[-attention_lm.INPUTS - 1] for t in totals) == sum(-(-(len(x) + 1) // attention_lm.STEP) for x in texts)
+    counts = np.bincount(np.concatenate(texts), minlength=own.size).astype(float)
+    counts[-1] = len(texts)
+    want = np.bincount(attention_lm.input_rows(counts), weights=counts, minlength=attention_lm.INPUTS)
+    assert (sum(t[-attention_lm.INPUTS :] for t in totals) == want).all()
+
+
+def test_gradients_are_those_of_the_loss():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 900, n) for n in (3, 40, 90)]
+    vocab = attention_lm.vocabulary(np.ones(1000), 999, np.concatenate(texts))
+    inputs, targets, lengths = attention_lm.joined(vocab, texts)
+    at, absent, _ = attention_lm.windows(lengths)
+    x, y, scored = vocab.inputs[inputs][at], vocab.classes[targets][at], attention_lm.Learner.LATE & ~absent
+    p = {k: v.astype(np.float64) for k, v in attention_lm.initial().items()}
+    _, g = attention_lm.gradients(p, x, absent, y, scored)
+    for k in p:
+        at_most = np.unravel_index(np.abs(g[k]).argmax(), g[k].shape)
+        old, got = p[k][at_most], []
+        for step in (1e-4, -1e-4):
+            p[k][at_most] = old + step
+            got.append(attention_lm.gradients(p, x, absent, y, scored)[0])
+        p[k][at_most] = old
+        assert (got[0] - got[1]) / 2e-4 == pytest.approx(g[k][at_most], rel=1e-2), k
