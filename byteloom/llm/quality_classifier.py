@@ -2,7 +2,7 @@
 
 Overlapping heuristic labellers vote good, bad or nothing on each document. Expectation-maximisation
 over the counts of vote patterns, taken over all documents, estimates how accurate each labeller is.
-The posterior labels of a bounded sample (SAMPLE documents, drawn by a hash of the id and the text)
+The posterior labels of a bounded sample (the SAMPLE distinct texts of smallest hash, or all if there are fewer)
 train a hashed linear scorer in numpy, and the scorer rates every document: its features are words,
 word shapes and bucketed statistics, hashed to a fixed number of weights.
 
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from byteloom.llm import vote_em
 from byteloom.llm.common import DOC, materialize, packed, tune, utf8
 
-#: Documents that the scorer is trained on, at most about so many.
+#: Distinct texts that the scorer is trained on.
 SAMPLE = 4096
 #: Weights of words, of word shapes, of statistics.
 WORD_BITS, SHAPE_BITS, STAT_BITS = 11, 9, 8
@@ -183,16 +183,19 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     """Labeller accuracies from all documents, and the scorer from a sample of them."""
     spark = docs.sparkSession
     tune(spark)
-    n = docs.count()
-    share = 1.0 if n <= sample else sample / n
-    pick = F.pmod(F.xxhash64(text_col, F.lit("sample")), F.lit(1_000_000)) < int(share * 1_000_000) if share < 1 else F.lit(True)
+    # By distinct texts, not rows: in a table of many copies a share of the rows may hold no text at all.
+    h = F.xxhash64(text_col, F.lit("sample"))
+    least = docs.select(h.alias("h")).distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    pick = F.when(h <= F.lit(least), h)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[int] = Counter()
+        sent: set[int] = set()
         for batch in batches:
             out = []
             for content, chosen in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if chosen:
+                if chosen is not None and chosen not in sent:
+                    sent.add(chosen)
                     idx, val, v = features(content)
                     out.append((code(v), idx.tobytes(), val.tobytes()))
                 else:
@@ -205,7 +208,7 @@ def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[
     table = materialize(docs.select(utf8(text_col).alias("c"), pick.alias("p")).mapInArrow(run, "pattern int, n long, idx binary, val binary"), "votes")
     patterns = {decode(r["pattern"]): r["n"] for r in table.where("idx is null").groupBy("pattern").agg(F.sum("n").alias("n")).collect()}
     model = vote_em.fit(patterns, VOTERS)
-    # Copies hash alike, so each chosen text counts once: a group of copies can't outgrow the bound.
+    # Copies hash alike, so each chosen text counts once: a task sends it once, and the tasks' copies are alike.
     chosen = table.where("idx is not null").distinct().orderBy("pattern", "idx", "val").limit(4 * sample).collect()
     w, b = train([(bytes(r["idx"]), bytes(r["val"]), model.posterior(decode(r["pattern"]))) for r in chosen])
     return model, w, b
