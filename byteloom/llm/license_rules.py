@@ -1,10 +1,12 @@
 """License detection with ordered signature rules.
 
 A text is reduced to its lower-case words joined by single spaces. An Aho-Corasick automaton over the
-rules' keywords picks the few rules worth trying, their regular expressions run over the whole text,
-and overlapping detections are resolved: in order of priority, then length, a detection goes if an
-interval that was already kept contains it. Rules come from hand-written license families (names,
-addresses, identifiers) and hand-written phrases of license texts.
+rules' keywords picks the few rules worth trying, and their regular expressions run over the whole text.
+Overlapping detections are resolved by priority: a detection goes if the interval of a better one
+contains it, better meaning a higher priority, then greater length, then the label that sorts first.
+That is decided by one sweep over the sorted intervals for each priority, so a text with any number of
+detections takes time in proportion to its length. The rules are written by hand, one line each: texts
+of licenses, identifiers, addresses, statements and bare names.
 
 Defined results: null and empty texts have no words, no label and score 0; rows are independent, so
 repeated rows get equal results; a table without rows gives none; other columns are ignored.
@@ -15,12 +17,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, log
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from byteloom.llm.common import tune, utf8
+from byteloom.llm.license_signatures import SIGNATURES
 
 #: Base phrases and their labels.
 BASE = {b"under the mit license": "mit", b"apache license version 2": "apache-2", b"cc by nc": "cc-by-nc"}
@@ -28,142 +33,8 @@ BASE = {b"under the mit license": "mit", b"apache license version 2": "apache-2"
 #: Bytes that end a word become spaces, A-Z become a-z, all others stay (all of UTF-8's other bytes belong to words).
 NORMAL = bytes(b + 32 if 0x41 <= b <= 0x5A else 32 if b <= 0x2F or 0x3A <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256))
 
-
-@dataclass(frozen=True)
-class Family:
-    """label; name: a pattern over normalised words; keys: one of these stands in every match; ids: identifiers; urls: addresses' words."""
-
-    label: str
-    name: str
-    keys: tuple[str, ...]
-    ids: tuple[str, ...] = ()
-    urls: tuple[str, ...] = ()
-
-
-V = r"(?: version| v)?"
-LIC = r"(?: software)?(?: public)? licen[sc]e"
-
-FAMILIES = (
-    Family("mit", r"(?:mit|expat|mit x11|x11 mit)(?: style)? licen[sc]e", ("mit ", "expat "), ("mit",), ("opensource org licenses mit", "opensource org license mit")),
-    Family("apache-1", rf"apache{LIC}{V} 1(?: [01])?", ("apache ",), ("apache 1 0", "apache 1 1")),
-    Family("apache-2", rf"apache{LIC}{V} 2(?: 0)?|apache 2(?: 0)? licen[sc]e|asl 2 0", ("apache ", "asl 2 0"), ("apache 2 0",), ("apache org licenses license 2 0",)),
-    Family("bsd-2-clause", r"(?:bsd 2 clause|2 clause bsd|two clause bsd|simplified bsd|freebsd)(?: licen[sc]e)?", ("bsd",), ("bsd 2 clause", "bsd 2 clause patent"), ("opensource org licenses bsd 2 clause",)),
-    Family("bsd-3-clause", r"(?:bsd 3 clause|3 clause bsd|three clause bsd|new bsd|modified bsd|revised bsd)(?: licen[sc]e)?", ("bsd",), ("bsd 3 clause", "bsd 3 clause clear"), ("opensource org licenses bsd 3 clause",)),
-    Family("bsd-4-clause", r"(?:bsd 4 clause|4 clause bsd|four clause bsd|original bsd)(?: licen[sc]e)?", ("bsd",), ("bsd 4 clause",)),
-    Family("bsd", r"bsd(?: style)? licen[sc]e", ("bsd ",), ("0bsd",), ("opensource org licenses bsd license",)),
-    Family("gpl-1", rf"(?:gnu )?(?:general public licen[sc]e|gpl){V} 1(?: 0)?", ("general public", "gpl"), ("gpl 1 0", "gpl 1 0 only", "gpl 1 0 or later")),
-    Family("gpl-2", rf"(?:gnu )?(?:general public licen[sc]e|gpl){V} ?2(?: 0)?", ("general public", "gpl"), ("gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"), ("gnu org licenses gpl 2 0", "gnu org licenses old licenses gpl 2 0")),
-    Family("gpl-3", rf"(?:gnu )?(?:general public licen[sc]e|gpl){V} ?3(?: 0)?", ("general public", "gpl"), ("gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"), ("gnu org licenses gpl 3 0",)),
-    Family("gpl", r"gnu (?:general public licen[sc]e|gpl)|(?:under|of) the gpl", ("general public", "gpl"), (), ("gnu org licenses gpl html", "gnu org copyleft gpl")),
-    Family("lgpl-2", rf"(?:gnu )?(?:library general public licen[sc]e|lgpl){V} ?2(?: 0)?", ("library general", "lgpl"), ("lgpl 2 0", "lgpl 2 0 only", "lgpl 2 0 or later")),
-    Family("lgpl-2.1", rf"(?:gnu )?(?:lesser general public licen[sc]e|lgpl){V} ?2 1", ("lesser general", "lgpl"), ("lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"), ("gnu org licenses lgpl 2 1",)),
-    Family("lgpl-3", rf"(?:gnu )?(?:lesser general public licen[sc]e|lgpl){V} ?3(?: 0)?", ("lesser general", "lgpl"), ("lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"), ("gnu org licenses lgpl 3 0",)),
-    Family("agpl-3", rf"(?:gnu )?(?:affero general public licen[sc]e|agpl){V} ?3(?: 0)?", ("affero general", "agpl"), ("agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"), ("gnu org licenses agpl 3 0",)),
-    Family("gfdl", r"(?:gnu )?free documentation licen[sc]e|gfdl 1 [123]", ("free documentation", "gfdl"), ("gfdl 1 1", "gfdl 1 2", "gfdl 1 3"), ("gnu org licenses fdl", "gnu org copyleft fdl")),
-    Family("mpl-1", rf"(?:mozilla{LIC}|mpl){V} ?1 [01]", ("mozilla ", "mpl"), ("mpl 1 0", "mpl 1 1"), ("mozilla org mpl mpl 1 1",)),
-    Family("mpl-2", rf"(?:mozilla{LIC}|mpl){V} ?2(?: 0)?", ("mozilla ", "mpl"), ("mpl 2 0",), ("mozilla org mpl 2 0",)),
-    Family("epl-1", rf"(?:eclipse{LIC}|epl){V} ?1 0", ("eclipse ", "epl "), ("epl 1 0",), ("eclipse org legal epl v10",)),
-    Family("epl-2", rf"(?:eclipse{LIC}|epl){V} ?2 0", ("eclipse ", "epl "), ("epl 2 0",), ("eclipse org legal epl 2 0",)),
-    Family("edl", r"eclipse distribution licen[sc]e", ("eclipse ",), ("edl 1 0",)),
-    Family("cddl", rf"common development and distribution licen[sc]e|cddl{V} 1 [01]", ("common development", "cddl"), ("cddl 1 0", "cddl 1 1")),
-    Family("cpl", r"common public licen[sc]e", ("common public",), ("cpl 1 0",)),
-    Family("ipl", r"ibm public licen[sc]e", ("ibm public",), ("ipl 1 0",)),
-    Family("eupl", r"european union public licen[sc]e|eupl", ("european union public", "eupl"), ("eupl 1 0", "eupl 1 1", "eupl 1 2")),
-    Family("artistic-1", rf"artistic licen[sc]e{V} 1(?: 0)?", ("artistic ",), ("artistic 1 0",)),
-    Family("artistic-2", rf"artistic licen[sc]e{V} 2(?: 0)?", ("artistic ",), ("artistic 2 0",), ("opensource org licenses artistic license 2 0",)),
-    Family("artistic", r"artistic licen[sc]e", ("artistic ",)),
-    Family("perl", r"same terms as perl(?: itself)?", ("terms as perl",)),
-    Family("python", r"python software foundation licen[sc]e|psf licen[sc]e(?: agreement)?", ("python software", "psf "), ("psf 2 0", "python 2 0")),
-    Family("ruby", r"ruby licen[sc]e|ruby s licen[sc]e", ("ruby ",), ("ruby",)),
-    Family("php", rf"php licen[sc]e(?:{V} 3(?: 0)?(?: 1)?)?", ("php ",), ("php 3 0", "php 3 01"), ("php net license",)),
-    Family("zlib", r"zlib(?: libpng)? licen[sc]e", ("zlib ",), ("zlib", "libpng 2 0", "zlib acknowledgement")),
-    Family("isc", r"isc licen[sc]e", ("isc ",), ("isc",)),
-    Family("boost-1", r"boost software licen[sc]e(?: version)?(?: 1 0)?", ("boost ",), ("bsl 1 0",), ("boost org license 1 0",)),
-    Family("business-source", r"business source licen[sc]e|busl 1 1", ("business source", "busl"), ("busl 1 1",)),
-    Family("sspl", r"server side public licen[sc]e", ("server side public",), ("sspl 1 0",)),
-    Family("elastic", r"elastic licen[sc]e(?: 2 0)?", ("elastic ",), ("elastic 2 0",)),
-    Family("unlicense", r"(?:the )?unlicense", ("unlicense",), ("unlicense",), ("unlicense org",)),
-    Family("wtfpl", r"do what the fuck you want to public licen[sc]e|wtfpl", ("you want to public", "wtfpl"), ("wtfpl",), ("wtfpl net",)),
-    Family("beerware", r"beer ?ware licen[sc]e", ("beerware", "beer ware"), ("beerware",)),
-    Family("postgresql", r"postgresql licen[sc]e", ("postgresql ",), ("postgresql",)),
-    Family("openssl", r"openssl licen[sc]e|ssleay licen[sc]e", ("openssl ", "ssleay "), ("openssl",)),
-    Family("curl", r"curl licen[sc]e", ("curl ",), ("curl",)),
-    Family("ncsa", r"university of illinois ncsa open source licen[sc]e|ncsa licen[sc]e", ("ncsa ",), ("ncsa",)),
-    Family("w3c", r"w3c software(?: notice and)? licen[sc]e", ("w3c ",), ("w3c", "w3c 20150513")),
-    Family("ofl", r"(?:sil )?open font licen[sc]e(?:(?: version)? 1 [01])?", ("open font",), ("ofl 1 0", "ofl 1 1"), ("scripts sil org ofl",)),
-    Family("unicode", r"unicode(?: inc)? licen[sc]e(?: agreement)?", ("unicode ",), ("unicode dfs 2015", "unicode dfs 2016", "unicode 3 0")),
-    Family("mspl", r"microsoft public licen[sc]e|ms pl", ("microsoft public", "ms pl"), ("ms pl",)),
-    Family("msrl", r"microsoft reciprocal licen[sc]e|ms rl", ("microsoft reciprocal", "ms rl"), ("ms rl",)),
-    Family("osl", rf"open software licen[sc]e(?:{V} 3 0)?", ("open software",), ("osl 1 0", "osl 2 0", "osl 2 1", "osl 3 0")),
-    Family("afl", rf"academic free licen[sc]e(?:{V} [23] [01])?", ("academic free",), ("afl 2 0", "afl 2 1", "afl 3 0")),
-    Family("blueoak", r"blue oak model licen[sc]e", ("blue oak",), ("blueoak 1 0 0",)),
-    Family("mulan", r"mulan (?:psl|permissive software licen[sc]e)", ("mulan ",), ("mulanpsl 1 0", "mulanpsl 2 0")),
-    Family("cecill", r"cecill(?: [abc2])?(?: licen[sc]e)?", ("cecill",), ("cecill 1 0", "cecill 2 0", "cecill 2 1", "cecill b", "cecill c")),
-    Family("vim", r"vim licen[sc]e", ("vim ",), ("vim",)),
-    Family("tcl", r"tcl(?: tk)? licen[sc]e", ("tcl ",), ("tcl",)),
-    Family("json", r"json licen[sc]e|software shall be used for good not evil", ("json ", "good not evil"), ("json",)),
-    Family("odbl", r"open (?:data commons open )?database licen[sc]e|odbl", ("database licen", "odbl"), ("odbl 1 0",), ("opendatacommons org licenses odbl",)),
-    Family("odc-by", r"open data commons attribution licen[sc]e", ("open data commons",), ("odc by 1 0",), ("opendatacommons org licenses by",)),
-    Family("pddl", r"public domain dedication and licen[sc]e", ("public domain",), ("pddl 1 0",), ("opendatacommons org licenses pddl",)),
-    Family("ogl-uk", r"open government licen[sc]e", ("open government",), ("ogl uk 1 0", "ogl uk 2 0", "ogl uk 3 0"), ("nationalarchives gov uk doc open government licence",)),
-    Family("etalab", r"licence ouverte|etalab 2 0", ("licence ouverte", "etalab"), ("etalab 2 0",)),
-    Family("cc0", r"cc0|creative commons zero|cc zero", ("cc0", "creative commons", "cc zero"), ("cc0 1 0",), ("creativecommons org publicdomain zero",)),
-    Family("cc-pdm", r"public domain mark", ("public domain mark",), (), ("creativecommons org publicdomain mark",)),
-    Family("openrail", r"(?:creativeml |bigscience )?open ?rail(?: m)?(?: licen[sc]e)?", ("openrail", "open rail"), ("openrail",)),
-    Family("llama", r"llama [23](?: [0-9])? community licen[sc]e", ("community licen",)),
-    Family("gemma", r"gemma terms of use", ("gemma ",)),
-    Family("proprietary", r"all rights reserved|proprietary and confidential|confidential and proprietary", ("rights reserved", "confidential")),
-    Family("public-domain", r"(?:in|into|released to) the public domain", ("public domain",)),
-)
-
-#: Creative Commons: the clauses of each label, as words and as spelt out.
-CC = {
-    "cc-by": ("by", "attribution"),
-    "cc-by-sa": ("by sa", "attribution share ?alike"),
-    "cc-by-nd": ("by nd", "attribution no ?deriv(?:ative)?s(?: works)?"),
-    "cc-by-nc": ("by nc", "attribution non ?commercial"),
-    "cc-by-nc-sa": ("by nc sa", "attribution non ?commercial share ?alike"),
-    "cc-by-nc-nd": ("by nc nd", "attribution non ?commercial no ?deriv(?:ative)?s(?: works)?"),
-}
-
-#: Phrases of license texts and headers: label, pattern, keyword, priority.
-PHRASES = (
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free", 90),
-    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell", "without restriction including", 88),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "permission notice shall", 86),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "with or without fee", 90),
-    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement", "without a written agreement", 91),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms", 80),
-    ("bsd-3-clause", "neither the name of .{1,80}? nor the names of its contributors may be used to endorse or promote products", "endorse or promote", 85),
-    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledg", "advertising materials", 88),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", "free software you can", 82),
-    ("gpl-2", "either version 2 of the license or at your option any later version", "at your option", 70),
-    ("gpl-3", "either version 3 of the license or at your option any later version", "at your option", 70),
-    ("gpl", "you should have received a copy of the gnu general public license", "have received a copy", 70),
-    ("lgpl", "you should have received a copy of the gnu lesser general public license", "have received a copy", 75),
-    ("agpl-3", "you should have received a copy of the gnu affero general public license", "have received a copy", 75),
-    ("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", "except in compliance", 92),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "agreed to in writing", 80),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "source code form", 92),
-    ("mpl-1", "the contents of this file are subject to the mozilla public license version 1 1", "contents of this file", 92),
-    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", "contents of this file", 92),
-    ("epl-1", "the accompanying program is provided under the terms of this eclipse public license", "eclipse public", 85),
-    ("epl-1", "accompanying materials are made available under the terms of the eclipse public license v1 0", "accompanying materials", 92),
-    ("epl-2", "accompanying materials are made available under the terms of the eclipse public license 2 0", "accompanying materials", 92),
-    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable", "express or implied", 85),
-    ("zlib", "altered source versions must be plainly marked as such", "altered source versions", 85),
-    ("boost-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation", "hereby granted free", 91),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered software", 92),
-    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software", "anyone is free", 85),
-    ("wtfpl", "you just do what the fuck you want to", "you just do", 85),
-    ("ofl", "this font software is licensed under the sil open font license", "font software", 92),
-    ("cc0", "to the extent possible under law .{1,80}? has waived all copyright", "possible under law", 85),
-    ("artistic", "the intent of this document is to state the conditions under which a package may be copied", "conditions under which", 85),
-    ("python", "python software foundation licenses? licensee", "python software", 80),
-    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited", "unauthorized copying", 85),
-    ("proprietary", "this software is the confidential and proprietary information of", "confidential and proprietary", 85),
-    ("proprietary", "no part of this publication may be reproduced", "this publication may", 80),
-)
+#: Kind of a signature -> its priority and the weight of a detection in the score.
+KINDS = {"id": (99, 0.98), "header": (92, 0.95), "text": (88, 0.95), "address": (85, 0.9), "part": (80, 0.8), "grant": (75, 0.9), "mention": (60, 0.7), "name": (50, 0.5), "weak": (40, 0.3)}
 
 
 @dataclass(frozen=True)
@@ -176,29 +47,8 @@ class Rule:
 
 
 def build_rules() -> list[Rule]:
-    """All rules, highest priority first: license texts, identifiers, addresses, statements, bare names."""
-    rules: list[Rule] = []
-
-    def add(label: str, pattern: str, keys: tuple[str, ...], priority: int, weight: float) -> None:
-        rules.append(Rule(label, re.compile(rf"(?<= )(?:{pattern})(?= )"), keys, priority, weight))
-
-    for label, pattern, key, priority in PHRASES:
-        add(label, pattern, (key,), priority, 0.95)
-    families = list(FAMILIES)
-    for label, (short, spelt) in CC.items():
-        name = rf"cc {short}|creative commons {spelt}(?: [1-4] [05])?(?: (?:international|unported|generic))?(?: public)?(?: licen[sc]e)?"
-        families.append(Family(label, name, (f"cc {short}", "creative commons"), tuple(f"cc {short} {v}" for v in ("1 0", "2 0", "2 5", "3 0", "4 0")), (f"creativecommons org licenses {short}",)))
-    for f in families:
-        for words in f.ids:
-            add(f.label, rf"spdx license identifier {words}", ("spdx license",), 99, 1.0)
-            add(f.label, rf"license (?:expression |id )?{words}", (f"license {words}", f"license expression {words}", f"license id {words}"), 60, 0.7)
-        for words in f.urls:
-            add(f.label, rf"(?:https? )?(?:www )?{words}(?: html| txt| php)?", (words,), 85, 0.9)
-        of_name = tuple(f.keys)
-        add(f.label, rf"(?:licen[sc]ed|released|distributed|available|published|covered|provided|offered|redistributed) (?:to you )?under (?:the )?(?:terms of )?(?:the )?(?:{f.name})", of_name, 75, 0.9)
-        add(f.label, rf"(?:under|subject to|according to|governed by) (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{f.name})", of_name, 65, 0.8)
-        add(f.label, rf"licen[sc]e (?:is |the )?(?:{f.name})", of_name, 60, 0.7)
-        add(f.label, f.name, of_name, 50, 0.5)
+    """All rules, highest priority first."""
+    rules = [Rule(label, re.compile(rf"(?<= )(?:{pattern})(?= )"), tuple(keys.split("|")), *KINDS[kind]) for label, kind, keys, pattern in SIGNATURES]
     return sorted(rules, key=lambda r: -r.priority)
 
 
@@ -226,12 +76,24 @@ class Scanner:
 
 
 def suppress(found: list[tuple[int, int, Rule]]) -> list[tuple[int, int, Rule]]:
-    """Keep the detections that no better one contains: by priority, then length, then place."""
-    kept: list[tuple[int, int, Rule]] = []
-    for a, b, rule in sorted(found, key=lambda d: (-d[2].priority, d[0] - d[1], d[0], d[2].label)):
-        if not any(x <= a and b <= y for x, y, _ in kept):
-            kept.append((a, b, rule))
-    return sorted(kept, key=lambda d: d[:2])
+    """Keep the detections that no better one contains, in order of place.
+
+    Containment is transitive, so it need not be asked whether the better one was itself kept.
+    """
+    if len(found) < 2:
+        return found
+    # Starts rise, ends fall, better ones first: whatever contains a detection and is better comes before it.
+    found = sorted(found, key=lambda d: (d[0], -d[1], -d[2].priority, d[2].label))
+    start, end = np.array([d[0] for d in found]), np.array([d[1] for d in found])
+    priority = np.array([d[2].priority for d in found])
+    kept = np.ones(len(found), bool)
+    for level in np.unique(priority):
+        # The farthest end among those of this priority at least that stand before.
+        reach = np.maximum.accumulate(np.where(priority >= level, end, -1))
+        own = np.flatnonzero(priority == level)
+        own = own[own > 0]
+        kept[own] &= reach[own - 1] < end[own]
+    return [d for d, k in zip(found, kept.tolist(), strict=True) if k]
 
 
 _SCANNER: list[Scanner] = []
@@ -243,23 +105,24 @@ def scan(content: bytes) -> dict:
         _SCANNER.append(Scanner())
     words = content.translate(NORMAL).split()
     line = b" " + b" ".join(words) + b" "
-    n, places, base = 0, [], set()
+    places, base = [], set()
     for phrase, label in BASE.items():
-        at = line.find(b" " + phrase + b" ")
+        whole = b" " + phrase + b" "
+        at = line.find(whole)
         while at >= 0:
-            n += 1
-            places.append(line.count(b" ", 0, at))
+            places.append(at)
             base.add(label)
-            at = line.find(b" " + phrase + b" ", at + 1)
+            at = line.find(whole, at + 1)
+    # A word's number is that of the space before it.
+    spaces = np.flatnonzero(np.frombuffer(line, np.uint8) == 32) if places else None
+    number = lambda at: int(np.searchsorted(spaces, at))
     found = _SCANNER[0].detect(line.decode("latin-1"))
-    miss = 1.0
-    for _, _, r in found:
-        miss *= 1 - r.weight
+    miss = exp(sum(log(1 - r.weight) for _, _, r in found))
     return {
         "n_words": len(words),
-        "n_base": n,
-        "first_word": min(places, default=None),
-        "last_word": max(places, default=None),
+        "n_base": len(places),
+        "first_word": number(min(places)) if places else None,
+        "last_word": number(max(places)) if places else None,
         "base_labels": ",".join(sorted(base)),
         "labels": ",".join(sorted(base | {r.label for _, _, r in found})),
         "score": max(1 - miss, 0.9 if base else 0.0),
