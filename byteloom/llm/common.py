@@ -23,7 +23,7 @@ def tune(spark: SparkSession) -> None:
     The result is lazy, so the settings must hold until it is read and can't be put back here.
     """
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = spark.conf.get(name, "0").lower()
+        now = spark.conf.get(name).lower().removesuffix("b")
         if not now.isdigit() or not 0 < int(now) <= most:
             spark.conf.set(name, str(most))
 
