@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from byteloom.llm import decontaminate, mixing, quality_classifier, quality_rules, simhash_dedup
-from byteloom.llm.common import materialize, table
+from byteloom.llm.common import discard, materialize, scratch, table
 
 
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,9 +52,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. What the stages before wrote on their way is deleted as soon as the next one stands."""
     docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, f"stage{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        with scratch(spark) as keep:
+            after = materialize(stage(spark, docs, sf_dir), f"stage{k}")
+            keep.append(after)
+        discard(docs)
+        docs = after
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,8 +11,9 @@ from functools import cache
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from byteloom.llm import attention_lm, decontaminate, html_extract, license_rules, mixing, quality_classifier, quality_rules, simhash_dedup, vote_em, warc
+from byteloom.llm import attention_lm, components, decontaminate, html_extract, license_rules, mixing, quality_classifier, quality_rules, simhash_dedup, vote_em, warc
 from byteloom.llm import queries as q
 
 RNG = random.Random(4)
@@ -119,6 +120,68 @@ def test_vantage_trees_lose_no_pair():
     assert [found.find(i) for i in range(len(fps))] == [brute.find(i) for i in range(len(fps))]
 
 
+def brute_components(fps):
+    brute = simhash_dedup.Forest(len(fps))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps[i] ^ fps[i + 1 :]) <= 3) + i + 1:
+            brute.join(i, int(j))
+    return [brute.find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("side", [0, 1])
+def test_one_half_in_common_is_split_by_the_other(side, monkeypatch):
+    rng = np.random.default_rng(5)
+    half = rng.integers(0, 1 << 32, 6000, dtype=np.uint64) << np.uint64(32 * (1 - side))
+    half[:500] ^= np.uint64(1) << np.uint64(32 * side)
+    near = half[:1500].copy()
+    for _ in range(2):
+        near ^= np.uint64(1) << rng.integers(0, 64, 1500, dtype=np.uint64)
+    fps = np.unique(np.concatenate([half, near, np.uint64(12345) << np.arange(40, dtype=np.uint64)]))
+    want = brute_components(fps)
+    found = simhash_dedup.Forest(len(fps))
+    simhash_dedup.shard_links(fps, np.ones(len(fps), bool), side, found)
+    simhash_dedup.shard_links(fps, np.ones(len(fps), bool), 1 - side, found)
+    assert [found.find(i) for i in range(len(fps))] == want
+    dealer, found = simhash_dedup.Dealer(fps, len(fps)), simhash_dedup.Forest(len(fps))
+    assert dealer.below
+    compared = 0
+    for _, which_side, which, own in dealer.deal(fps):
+        compared += int(own.sum()) * len(which)
+        simhash_dedup.shard_links(fps[which], own, which_side, found, which)
+    assert [found.find(i) for i in range(len(fps))] == want
+    assert compared < len(fps) ** 2
+
+
+def test_large_shards_are_dealt_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BLOCK", 200)
+    rng = np.random.default_rng(6)
+    fps = rng.integers(0, 1 << 63, 900, dtype=np.uint64)
+    fps = np.unique(np.concatenate([fps, fps[:300] ^ np.uint64(5)]))
+    edges = simhash_dedup.links(spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")).collect()
+    at = {int(x): k for k, x in enumerate(fps.view(np.int64))}
+    found = simhash_dedup.Forest(len(fps))
+    for r in edges:
+        found.join(at[r["a"]], at[r["b"]])
+    assert [found.find(i) for i in range(len(fps))] == brute_components(fps)
+
+
+def test_rows_are_kept_by_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(simhash_dedup, "BITMAPS", 2)
+    rows = spark.range(0, 1000, 1, 7).select(F.monotonically_increasing_id().alias("__row"), "id")
+    kept = rows.where("id % 3 = 1 or id > 900").select(F.col("__row").alias("row"))
+    got = simhash_dedup.keep_rows(rows, kept)
+    assert got.columns == ["__row", "id"]
+    assert sorted(r["id"] for r in got.collect()) == [k for k in range(1000) if k % 3 == 1 or k > 900]
+    assert simhash_dedup.keep_rows(rows, kept.limit(0)).count() == 0
+
+
+def test_a_path_of_links_is_followed_to_its_end(spark):
+    n = 300
+    edges = spark.createDataFrame([(k, k + 1) for k in range(n)] + [(1000, 1001), (5, None), (7, 7)], "a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected_components(edges).collect()}
+    assert got == {**{k: 0 for k in range(n + 1)}, 1000: 1000, 1001: 1000}
+
+
 def test_decontaminate(spark, docs):
     texts = corpus()
     w = words(texts[12][1])
