@@ -84,8 +84,8 @@ OP9_SQL = f"""
 WITH payloads AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
 firsts AS (SELECT digest, max(page_id) AS first FROM payloads WHERE n >= {warc.MIN_REVISIT} GROUP BY digest)
 SELECT page_id, n AS payload_bytes, digest AS payload_digest,
-  CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN first <> page_id THEN first END AS refers_to
+  CASE WHEN first IS DISTINCT FROM page_id AND first IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN first IS DISTINCT FROM page_id THEN first END AS refers_to
 FROM payloads LEFT JOIN firsts USING (digest)
 """
 

@@ -3,13 +3,14 @@
 parse_arc reads an ARC file of version 1 or 2: the version block says how many fields a record's
 header line has, and the line declares the body's length. to_warc makes the equivalent WARC record:
 an identifier, an ISO timestamp, the record's type and digests. Archives are written by Spark's text
-sink, whose line separator is the blank lines that end a WARC record, so each file is a plain gzipped
-WARC file in the shared folder and no task touches a file system by itself.
+sink, whose line separator is the blank lines that end a WARC record: a row is a whole file's records,
+up to FILE_BYTES, so each file is a gzipped WARC file of bounded size in the shared folder and no task
+touches a file system by itself.
 
 Defined results: a null payload is empty, a null url becomes a urn of the page; payloads of 1000 bytes or more that
-are equal are one response (largest page_id, each of them if that row is repeated) and revisits;
-null ids are carried, never refer or are referred to; a table without rows gives none; a payload of any
-length is one record; other columns are ignored.
+are equal are one response (largest page_id, each of them if that row is repeated) and revisits; a row
+without id is carried and revisits the largest id of its payload, or is a response where no row has one; a table
+without rows gives none; a payload of any length is one record; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from byteloom.llm.common import fresh_path, materialize, tune, utf8
+from byteloom.llm.common import discard, fresh_path, materialize, tune, utf8
 
 MIN_REVISIT = 1000
 #: Bytes of records that one archive file should hold; rows of the revisit table that may be broadcast.
@@ -179,31 +180,36 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     tune(spark)
     rows = pages.select(F.col(id_col).cast("long").alias("page"), F.col(url_col).alias("url"), utf8(html_col).alias("payload")).withColumn("digest", F.sha1("payload"))
     index = materialize(rows.select("page", "digest", F.octet_length("payload").cast("long").alias("n")), "index")
-    total, count = index.agg(F.sum("n"), F.count("*")).first()
-    first = materialize(index.where((F.col("n") >= MIN_REVISIT) & F.col("page").isNotNull()).groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("copies")).where("copies > 1").select("digest", "first"), "first")
+    big = index.where(F.col("n") >= MIN_REVISIT).groupBy("digest").agg(F.max("page").alias("first"), F.count("*").alias("copies"))
+    first = materialize(big.where("copies > 1 and first is not null").select("digest", "first"), "first")
+    discard(index)
     if first.count() <= BROADCAST_ROWS:
         first = F.broadcast(first)
-    rows = rows.join(first, "digest", "left").select("page", "url", "payload", F.when(F.col("first") != F.col("page"), F.col("first")).alias("refers"))
+    rows = rows.join(first, "digest", "left").select("page", "url", "payload", F.when(~F.col("first").eqNullSafe(F.col("page")), F.col("first")).alias("refers"))
 
     def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begun = False
+        """One row a file: records up to FILE_BYTES (a longer one alone), behind a record about the file itself."""
+        held, size = [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join([warcinfo(), *held])], pa.binary())], ["records"])
+
         for batch in batches:
-            archives: dict[int, list] = {1: [], 2: []}
-            refers: dict[int, list] = {1: [], 2: []}
-            for page, url, payload, other in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for k in range(batch.num_rows):
+                page, url, payload, other = (c[k].as_py() for c in batch.columns)
                 version = 1 + (page or 0) % 2
-                archives[version].append((clean_url(url, page), "text/html", http_response(page, payload)))
-                refers[version].append(None if other is None else str(other))
-            out = [] if begun else [warcinfo()]
-            begun = True
-            for version, own in archives.items():
-                if own:
-                    out += [to_warc(r, to) for r, to in zip(parse_arc(arc_archive(version, own)), refers[version], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
-
-    per_file = max(1, FILE_BYTES // max(1, (total or 0) // max(1, count)))
-    records = rows.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("value"))
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+                arc = next(iter(parse_arc(arc_archive(version, [(clean_url(url, page), "text/html", http_response(page, payload))]))))
+                record = to_warc(arc, None if other is None else str(other))
+                if held and size + len(record) > FILE_BYTES:
+                    yield out()
+                    held, size = [], 0
+                held.append(record)
+                size += len(record)
+        if held:
+            yield out()
+
+    records = rows.mapInArrow(convert, "records binary").select(F.col("records").cast("string").alias("value"))
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
