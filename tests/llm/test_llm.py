@@ -239,25 +239,49 @@ def test_warc(spark, monkeypatch):
         list(warc.parse_arc(b"no archive at all\n"))
 
 
-def test_attention_paths_agree():
+def slow_score(p, vocab, ids, shares):
+    """By the formula, token by token in float64: log10 probability of one text."""
+    p = {k: v.astype(np.float64) for k, v in p.items()}
+    inputs, targets = [vocab.end, *ids], [*ids, vocab.end]
+    total = shares
+    for t in range(len(targets)):
+        first = t // attention_lm.STEP * attention_lm.STEP - attention_lm.KEEP
+        seen = [k for k in range(max(first, 0), t + 1)]
+        h = np.array([p["E"][vocab.inputs[inputs[k]]] + p["P"][k - first] for k in seen])
+        s = (h[-1] @ p["Wq"]) @ (h @ p["Wk"]).T / math.sqrt(attention_lm.D)
+        a = np.exp(s - s.max())
+        h1 = h[-1] + (a / a.sum()) @ (h @ p["Wv"]) @ p["Wo"]
+        h2 = h1 + np.maximum(h1 @ p["W1"] + p["b1"], 0) @ p["W2"] + p["b2"]
+        z = h2 @ p["U"] + p["c"]
+        total += (z[vocab.classes[targets[t]]] - z.max() - math.log(np.exp(z - z.max()).sum())) / math.log(10)
+    return total
+
+
+def test_attention_against_the_formula():
     rng = np.random.default_rng(0)
-    texts = [rng.integers(0, 900, n) for n in (0, 1, 23, 24, 25, 200)]
-    vocab = attention_lm.vocabulary(np.ones(1000), 999, np.concatenate(texts))
+    texts = [rng.integers(0, 900, n) for n in (0, 1, 23, 24, 25, 100)]
+    starts = np.arange(1000) % 3 == 0
+    vocab = attention_lm.vocabulary(np.ones(1000), 999, np.concatenate(texts), starts)
+    assert vocab.classes[starts].max() < attention_lm.CLASSES // 2 <= vocab.classes[~starts].min()
     p = attention_lm.train(vocab, texts, steps=30)
     fast = attention_lm.score(p, vocab, texts)
-    inputs, targets, lengths = attention_lm.joined(vocab, texts)
-    at, absent, text = attention_lm.windows(lengths)
-    x, y = vocab.inputs[inputs], vocab.classes[targets]
-    lp = attention_lm.log_softmax(attention_lm.hidden(p, x[at], absent)[0] @ p["U"] + p["c"])
-    slow = np.zeros(len(texts))
-    scored = np.zeros(len(targets), int)
-    for w in range(len(at)):
-        for k in range(attention_lm.KEEP, attention_lm.T):
-            if not absent[w, k]:
-                slow[text[w]] += lp[w, k, y[at[w, k]]] / math.log(10) + vocab.logp[targets[at[w, k]]]
-                scored[at[w, k]] += 1
-    assert (scored == 1).all()
-    assert np.allclose(fast, slow, rtol=1e-4)
+    for text, got in zip(texts, fast, strict=True):
+        assert got == pytest.approx(slow_score(p, vocab, text.tolist(), vocab.logp[[*text, 999]].sum()), rel=1e-5)
+
+
+def test_shares_of_a_class_add_up():
+    rng = np.random.default_rng(1)
+    starts = np.arange(1000) % 3 == 0
+    vocab = attention_lm.vocabulary(rng.integers(1, 50, 1000).astype(float), 999, rng.integers(0, 1000, 5000), starts)
+    go_on = np.flatnonzero(~starts)
+    keys = np.unique(rng.integers(0, 20, 500) * 1000 + rng.choice(go_on, 500))
+    pairs = attention_lm.Pairs(vocab, keys, rng.integers(1, 9, len(keys)))
+    for before in (0, 5, 19, 900):
+        share = 10 ** pairs.shares(np.full(len(go_on), before), go_on)
+        total = np.bincount(vocab.classes[go_on], weights=share, minlength=attention_lm.CLASSES)
+        assert np.allclose(total[np.unique(vocab.classes[go_on])], 1)
+    share = np.bincount(vocab.classes[starts], weights=10 ** vocab.logp[starts], minlength=attention_lm.CLASSES)
+    assert np.allclose(share[np.unique(vocab.classes[starts])], 1)
 
 
 def test_token_counts_and_base_scores(spark, docs):
@@ -283,6 +307,8 @@ def test_token_counts_and_base_scores(spark, docs):
         w = [*words(re.sub("[A-Z]", lambda m: m[0].lower(), texts[r["doc_id"]])), 0]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(w), sum(c[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[x] + 1) / (n + v + 1)) for x in w), rel=1e-9)
+    base = {tuple(r) for r in lm_score.base_scores(docs, heavy=20).collect()}
+    assert {r[:6][:5] for r in base} == {tuple(r)[:5] for r in got}
 
 
 def test_classifier(spark, docs):
