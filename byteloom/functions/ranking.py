@@ -12,6 +12,8 @@ from collections.abc import Callable
 from dataclasses import dataclass, replace
 from functools import cache
 
+import numpy as np
+
 from byteloom.functions import charset as C
 from byteloom.functions import registry as R
 from byteloom.functions.models import LANGUAGE_BYTES, SCORE_BYTES, Models
@@ -75,29 +77,45 @@ def differing(a: str, b: str) -> frozenset[int]:
     return frozenset(k for k in range(0x80, 256) if x[k] != y[k]) if x and y else frozenset()
 
 
+#: Occurrences of one byte that a vote looks at.
+VOTES = 256
+
+
+@cache
+def _traits(encoding: str) -> tuple[np.ndarray, ...]:
+    """For each byte: undefined or control, letter, capital, small letter."""
+    kinds = [(c, unicodedata.category(c)) for c in _characters(encoding) or ()]
+    return tuple(np.array(t, bool) for t in ([c == "\ufffd" or k == "Cc" for c, k in kinds], [k[0] == "L" for _, k in kinds], [k == "Lu" for _, k in kinds], [c.islower() for c, _ in kinds], [c.isalpha() for c, _ in kinds]))
+
+
+def _fits(encoding: str, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
+    """How plausible each byte is under an encoding, from its neighbours (-1: none)."""
+    bad, letter, capital, small, alpha = _traits(encoding)
+    letters = (alpha[before] & (before >= 0)).astype(int) + (alpha[after] & (after >= 0))
+    inside = capital[at] & small[before] & (before >= 0)
+    score = np.where(letter[at], np.where(letters > 0, 0.5, -0.5) - 0.75 * inside, np.where(letters < 2, 0.5, -0.25))
+    return np.where(bad[at], -1.0, score)
+
+
 def arbitrate(data: bytes, a: str, b: str) -> str | None:
     """Which of two encodings reads the bytes on which they differ more plausibly: letters next to letters, other signs elsewhere."""
-    odd, x, y = differing(a, b), _characters(a), _characters(b)
-    if not odd or x is None or y is None:
+    odd = differing(a, b)
+    if not odd:
+        return None
+    seen = np.frombuffer(data, np.uint8)
+    is_odd = np.zeros(256, bool)
+    is_odd[list(odd)] = True
+    places = np.flatnonzero(is_odd[seen])
+    if not len(places):
         return None
-    votes = 0
-    for k, byte in enumerate(data):
-        if byte not in odd:
-            continue
-        around = data[max(0, k - 1) : k] + data[k + 1 : k + 2]
-
-        def fits(table: tuple[str, ...], near: bytes = around, at: int = byte) -> float:
-            kind = unicodedata.category(table[at])
-            if table[at] == "�" or kind == "Cc":
-                return -1.0
-            letters = sum(table[n].isalpha() for n in near)
-            if kind[0] != "L":
-                return 0.5 if letters < 2 else -0.25
-            capital = kind == "Lu" and k > 0 and table[data[k - 1]].islower()
-            return (0.5 if letters else -0.5) - (0.75 if capital else 0.0)
-
-        gap = fits(x) - fits(y)
-        votes += (gap > 0) - (gap < 0)
+    # The first occurrences of each byte.
+    order = np.argsort(seen[places], kind="stable")
+    values = seen[places][order]
+    rank = np.arange(len(values)) - np.searchsorted(values, values)
+    places = places[order][rank < VOTES]
+    padded = np.concatenate([[-1], seen.astype(np.int64), [-1]])
+    at, before, after = padded[places + 1], padded[places], padded[places + 2]
+    votes = int(np.sign(_fits(a, at, before, after) - _fits(b, at, before, after)).sum())
     return a if votes > 0 else b if votes < 0 else None
 
 

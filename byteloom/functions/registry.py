@@ -176,7 +176,7 @@ def name_index() -> dict[str, str]:
     for alias, codec in codec_aliases.items():
         known = found.get(normalize(codec))
         if known:
-            found.setdefault(alias, known)
+            found.setdefault(normalize(alias), known)
     for name, encoding in EXTRA.items():
         found.setdefault(name, encoding)
     return found

@@ -2,11 +2,16 @@
 
 import glob
 import os
+import random
+import unicodedata
 
 import pytest
 
+from byteloom.functions import ranking, registry
+from byteloom.functions.ranking import Options
+from byteloom.operators import identify
 from byteloom.operators.detect import detect_deterministic
-from byteloom.plans import catalog
+from byteloom.plans import catalog, encoded
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,13 +41,57 @@ def test_golden(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql() | encoded.oracle_sql()))
 def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
     for f in glob.glob(f"{SF}/*.parquet"):
         con.execute(f"CREATE VIEW {os.path.basename(f)[:-8]} AS SELECT * FROM '{f}'")
-    df = catalog.queries()[name](spark, SF)
-    rows = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.oracle_sql()[name]})").fetchall()
+    df = (catalog.queries() | encoded.queries())[name](spark, SF)
+    rows = con.execute(f"SELECT {', '.join(df.columns)} FROM ({(catalog.oracle_sql() | encoded.oracle_sql())[name]})").fetchall()
     assert sorted(map(repr, rows)) == sorted(repr(tuple(r)) for r in df.collect())
+
+
+def test_deterministic_is_detect_or_null(spark):
+    values = [c[0] for g in (encoded.WIDE, encoded.ESCAPED, encoded.MARKED, encoded.CONTAINED, encoded.MULTIBYTE) for c in g]
+    values += [b"a+b", b"1+1=2", b"x ~{ y", b"user+tag@example.com", "\u00e9 charset=x".encode(), b"MZ\0\0", b"\0" * 50 + b"abc", b"<meta charset=latin1>\xc3\xa9", b"\x1b(I\0", b"coding: nothing", b"\xca\xfe\xba\xbe\0\0\0\x03short"]
+    rng = random.Random(3)
+    values += [b"".join(rng.choice([b"a", b" ", b"\xc3\xa9", b"\0", b"+", b"~{", b"\x1b$B", b"<meta charset='utf-8'>", b"\xff", b"\x01", b"&AOk-", b"coding=x"]) for _ in range(rng.randint(1, 12))) for _ in range(400)]
+    df = spark.createDataFrame([(bytearray(v),) for v in values], "content binary")
+    both = identify.detect(detect_deterministic(df, output="a"), output="b", options=Options(compat_names=False)).collect()
+    wrong = [r for r in both if r["a"] is not None and (r["a"]["encoding"], round(r["a"]["confidence"], 9), r["a"]["mime_type"]) != (r["b"]["encoding"], round(r["b"]["confidence"], 9), r["b"]["mime_type"])]
+    assert not wrong
+    assert sum(r["a"] is not None for r in both) > 150
+
+
+def test_votes_against_a_plain_walk():
+    def plain(data, a, b):
+        odd, x, y = ranking.differing(a, b), ranking._characters(a), ranking._characters(b)
+        seen, votes = {}, 0
+        for k, byte in enumerate(data):
+            if byte not in odd or seen.setdefault(byte, 0) >= ranking.VOTES:
+                continue
+            seen[byte] += 1
+
+            def fits(t, k=k, byte=byte):
+                kind = unicodedata.category(t[byte])
+                near = sum(t[n].isalpha() for n in data[max(0, k - 1) : k] + data[k + 1 : k + 2])
+                if t[byte] == "\ufffd" or kind == "Cc":
+                    return -1.0
+                if kind[0] != "L":
+                    return 0.5 if near < 2 else -0.25
+                return (0.5 if near else -0.5) - (0.75 if kind == "Lu" and k > 0 and t[data[k - 1]].islower() else 0)
+
+            votes += (fits(x) > fits(y)) - (fits(x) < fits(y))
+        return a if votes > 0 else b if votes < 0 else None
+
+    rng = random.Random(4)
+    for _ in range(200):
+        data = bytes(rng.choice(b"abcABC \x80\x85\x92\xa4\xbe\xc0\xe9\xf0\xfe") for _ in range(rng.choice([0, 1, 30, 9000])))
+        for a, b in (("cp1252", "iso8859-15"), ("koi8-r", "koi8-u"), ("cp850", "cp437"), ("iso8859-1", "iso8859-1")):
+            assert ranking.arbitrate(data, a, b) == plain(data, a, b)
+
+
+def test_aliases_with_dots():
+    assert registry.lookup("ANSI_X3.4-1986") == registry.lookup("iso_646.irv_1991") == "ascii"
