@@ -23,6 +23,8 @@ PAIRS, FLUSH = 1 << 13, 1 << 18
 BLANKS = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0xA0)
 #: Bytes that are scored, and bytes that languages are told from.
 SCORE_BYTES, LANGUAGE_BYTES = 16_384, 2048
+# Rare languages, and the lead that they need in thin texts.
+RARE, THIN_WITHIN = ("gd", "cy", "ga", "br"), 0.03
 
 
 @dataclass
@@ -57,6 +59,39 @@ class Models:
             at += n
         return out
 
+    def languages(self, encoding: str) -> frozenset[str]:
+        """The languages that have a model under an encoding."""
+        return frozenset(self.keys[k][0] for k in self.rows.get(encoding, ()))
+
+    def rows_of(self, encoding: str, languages: frozenset[str] | None = None) -> np.ndarray:
+        """Rows of an encoding's models, of the languages given or of all."""
+        return np.array([k for k in self.rows.get(encoding, ()) if languages is None or self.keys[k][0] in languages], int)
+
+    def cosines(self, seen: np.ndarray, values: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        length = float(np.sqrt((values.astype(np.float64) ** 2).sum()))
+        if not length or not len(rows):
+            return np.zeros(len(rows))
+        return self.weights[np.ix_(rows, seen)].astype(np.int64) @ values / (self.norms[rows] * length)
+
+    def nearest(self, seen: np.ndarray, values: np.ndarray, encoding: str, languages: frozenset[str] | None = None) -> float:
+        """The best cosine of an encoding's models with a profile, 0 without any."""
+        return float(self.cosines(seen, values, self.rows_of(encoding, languages)).max(initial=0.0))
+
+    def language(self, data: bytes, encoding: str, thin: bool = False) -> str | None:
+        """The nearest model's language; in thin texts a rare one must lead the nearest common one by THIN_WITHIN."""
+        rows = self.rows_of(encoding)
+        scores = self.cosines(*profile(data, self.idf), rows)
+        if not len(rows) or scores.max() <= 0:
+            return None
+        named = [self.keys[k][0] for k in rows]
+        best = int(scores.argmax())
+        if thin and named[best] in RARE:
+            common = [k for k in range(len(rows)) if named[k] not in (*RARE, "zxx") and scores[k] > 0]
+            rival = max(common, key=lambda k: scores[k], default=best)
+            if scores[best] - scores[rival] < THIN_WITHIN:
+                return named[rival]
+        return named[best]
+
 
 def bigrams(data: bytes) -> np.ndarray:
     """Counts of adjacent pairs but for a blank that repeats."""

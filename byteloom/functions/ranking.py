@@ -7,16 +7,14 @@ confidences are its own too; deterministic results follow fixed rules.
 from __future__ import annotations
 
 import math
-import unicodedata
 from collections.abc import Callable
 from dataclasses import dataclass, replace
-from functools import cache
-
-import numpy as np
+from itertools import takewhile
 
 from byteloom.functions import charset as C
 from byteloom.functions import registry as R
-from byteloom.functions.models import LANGUAGE_BYTES, SCORE_BYTES, Models
+from byteloom.functions.evidence import ART, Evidence, differing
+from byteloom.functions.models import LANGUAGE_BYTES, RARE, SCORE_BYTES, Models
 
 Result = tuple[str | None, float, str | None, str | None]
 NONE: Result = (None, 0.0, None, None)
@@ -25,9 +23,19 @@ SURE, FALLBACK, BAND, DEAD_HEAT, MINIMUM = 0.95, 0.10, 0.005, 1e-4, 0.20
 STRUCTURAL, FULL_COVERAGE = 0.85, 0.95
 #: A model's cosine from which on encodings without models are not guessed at.
 TOLD = 0.15
-RARE, RARE_BELOW, RARE_WITHIN, THIN, THIN_WITHIN = ("gd", "cy", "ga", "br"), 0.15, 0.02, 128, 0.03
+RARE_BELOW, RARE_WITHIN, THIN, CR_LINES = 0.15, 0.02, 128, 3
+# A first below LOW is unsure; the walk then goes down to this share of it.
+LOW, LOW_SHARE = 0.2, 0.5
 COMMON_LATIN = ("iso8859-1", "iso8859-15", "cp1252")
-NICHE_LATIN = ("iso8859-10", "iso8859-14", "cp1254", "hp-roman8")
+# Niche encodings of Latin script and the bytes that are their own.
+NICHE_LATIN = {
+    "iso8859-10": frozenset(bytes.fromhex(
+        "A1 A2 A3 A4 A5 A6 A8 A9 AA AB AC AE AF B1 B2 B3 B4 B5 B6 B8 B9 BA BB BC BD BE BF C0 C7 C8 CA CC D1 D2 D7 D9 E0 E7 E8 EA EC F1 F2 F7 F9 FF"
+    )),
+    "iso8859-14": frozenset(bytes.fromhex("A1 A2 A4 A5 A6 A8 AA AB AC AF B0 B1 B2 B3 B4 B5 B7 B8 B9 BA BB BC BD BE BF D0 D7 DE F0 F7 FE")),
+    "cp1254": frozenset(bytes.fromhex("D0 DD DE F0 FD FE")),
+    "hp-roman8": frozenset(bytes.fromhex("C0 C1 C2 C3 C4 C5 C6 C7 C8 C9 CA CB CC CD CE CF D1 D4 D5 D6 D9 DD DE")),
+}
 KOI8_T = bytes([0x80, 0x81, 0x83, 0x8A, 0x8C, 0x8D, 0x8E, 0x90, 0xA1, 0xA2, 0xA5, 0xB5])
 ESCAPES = (
     ((b"\x1b$(O", b"\x1b$(P", b"\x1b$(Q"), "iso2022_jp_2004", "ja"),
@@ -62,63 +70,6 @@ class Options:
         return replace(self, include_encodings=listed(self.include_encodings), exclude_encodings=listed(self.exclude_encodings), no_match_encoding=R.validate(self.no_match_encoding), empty_input_encoding=R.validate(self.empty_input_encoding))
 
 
-@cache
-def _characters(encoding: str) -> tuple[str, ...] | None:
-    entry = R.BY_NAME.get(encoding)
-    if entry is None or entry.is_multibyte or encoding.startswith("utf"):
-        return None
-    return tuple(bytes([b]).decode(C.PYTHON_NAMES.get(encoding, encoding), "replace") for b in range(256))
-
-
-@cache
-def differing(a: str, b: str) -> frozenset[int]:
-    """The high bytes that two single-byte encodings read differently."""
-    x, y = _characters(a), _characters(b)
-    return frozenset(k for k in range(0x80, 256) if x[k] != y[k]) if x and y else frozenset()
-
-
-#: Occurrences of one byte that a vote looks at.
-VOTES = 256
-
-
-@cache
-def _traits(encoding: str) -> tuple[np.ndarray, ...]:
-    """For each byte: undefined or control, letter, capital, small letter."""
-    kinds = [(c, unicodedata.category(c)) for c in _characters(encoding) or ()]
-    return tuple(np.array(t, bool) for t in ([c == "\ufffd" or k == "Cc" for c, k in kinds], [k[0] == "L" for _, k in kinds], [k == "Lu" for _, k in kinds], [c.islower() for c, _ in kinds], [c.isalpha() for c, _ in kinds]))
-
-
-def _fits(encoding: str, at: np.ndarray, before: np.ndarray, after: np.ndarray) -> np.ndarray:
-    """How plausible each byte is under an encoding, from its neighbours (-1: none)."""
-    bad, letter, capital, small, alpha = _traits(encoding)
-    letters = (alpha[before] & (before >= 0)).astype(int) + (alpha[after] & (after >= 0))
-    inside = capital[at] & small[before] & (before >= 0)
-    score = np.where(letter[at], np.where(letters > 0, 0.5, -0.5) - 0.75 * inside, np.where(letters < 2, 0.5, -0.25))
-    return np.where(bad[at], -1.0, score)
-
-
-def arbitrate(data: bytes, a: str, b: str) -> str | None:
-    """Which of two encodings reads the bytes on which they differ more plausibly: letters next to letters, other signs elsewhere."""
-    odd = differing(a, b)
-    if not odd:
-        return None
-    seen = np.frombuffer(data, np.uint8)
-    is_odd = np.zeros(256, bool)
-    is_odd[list(odd)] = True
-    places = np.flatnonzero(is_odd[seen])
-    if not len(places):
-        return None
-    # The first occurrences of each byte.
-    order = np.argsort(seen[places], kind="stable")
-    values = seen[places][order]
-    rank = np.arange(len(values)) - np.searchsorted(values, values)
-    places = places[order][rank < VOTES]
-    padded = np.concatenate([[-1], seen.astype(np.int64), [-1]])
-    at, before, after = padded[places + 1], padded[places], padded[places + 2]
-    votes = int(np.sign(_fits(a, at, before, after) - _fits(b, at, before, after)).sum())
-    return a if votes > 0 else b if votes < 0 else None
-
-
 def promote(ranked: list[Result], i: int) -> list[Result]:
     """Result i first, with the confidence of the old first."""
     encoding, _, language, mime = ranked[i]
@@ -130,77 +81,131 @@ def _era(encoding: str | None) -> int:
 
 
 def _within(ranked: list[Result], band: float) -> list[int]:
-    return [i for i in range(1, len(ranked)) if ranked[0][1] - ranked[i][1] <= band]
+    """Places behind the first, up to the first one whose confidence is further off than band."""
+    return list(takewhile(lambda i: ranked[0][1] - ranked[i][1] <= band, range(1, len(ranked))))
+
 
+def _spoken(*results: Result) -> frozenset[str]:
+    return frozenset(r[2] for r in results if r[2])
 
-def superset_on_dead_heat(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
+
+def superset_on_dead_heat(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
     wanted = {"shift_jis_2004": "cp932", "euc_kr": "cp949"}.get(ranked[0][0])
-    return next((promote(ranked, i) for i in _within(ranked, DEAD_HEAT) if ranked[i][0] == wanted and C.decodes(data, wanted)), ranked)
+    return next((promote(ranked, i) for i in _within(ranked, DEAD_HEAT) if ranked[i][0] == wanted and C.decodes(seen.data, wanted)), ranked)
 
 
-def prevalent_on_dead_heat(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
-    rivals = [i for i in _within(ranked, DEAD_HEAT) if _era(ranked[i][0]) < _era(ranked[0][0])]
+def prevalent_on_dead_heat(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    """The commonest era wins, but where models know the first's high bytes it must also read the differing bytes better."""
+    top = ranked[0]
+    rivals = [i for i in _within(ranked, DEAD_HEAT) if _era(ranked[i][0]) < _era(top[0])]
     if not rivals:
         return ranked
     i = min(rivals, key=lambda k: (_era(ranked[k][0]), k))
-    return ranked if arbitrate(data, ranked[0][0], ranked[i][0]) == ranked[0][0] else promote(ranked, i)
+    if seen.known(top[0], top[2]):
+        rival = ranked[i]
+        shared = seen.comparable(top[0], rival[0], _spoken(top, rival))
+        if seen.arbitrate(top[0], rival[0], differing(top[0], rival[0]), shared, shared) != rival[0]:
+            return ranked
+    return promote(ranked, i)
 
 
-def rare_language(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
+def rare_language(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
     if ranked[0][2] not in RARE or ranked[0][1] >= RARE_BELOW:
         return ranked
     return next((promote(ranked, i) for i in _within(ranked, RARE_WITHIN) if ranked[i][2] and ranked[i][2] not in RARE), ranked)
 
 
-def confusable(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
-    """Walks down the band; a rival that reads the differing bytes better becomes the first."""
-    best = 0
-    for i in sorted({1, *_within(ranked, BAND)} & set(range(1, len(ranked)))):
-        if ranked[0][1] - ranked[i][1] <= 4 * BAND and arbitrate(data, ranked[best][0], ranked[i][0]) == ranked[i][0]:
+def confusable(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    """Walks down the ranking with a champion. The second, and any within the band, wins at once if it beats the champion.
+
+    Below an unsure first (LOW), the walk goes on to half its confidence; there models and vote must agree, and the last to win stays.
+    """
+    best, lead = 0, ranked[0][1]
+    if ranked[0][2] == ART:
+        return ranked
+    for i, rival in enumerate(ranked[1:], 1):
+        near = i == 1 or lead - rival[1] <= BAND
+        if not near and (lead >= LOW or rival[1] < lead * LOW_SHARE):
+            break
+        champion = ranked[best]
+        if seen.settle(champion[0], rival[0], _spoken(champion, rival), strict=not near) == rival[0]:
             best = i
+            if near:
+                break
     return promote(ranked, best) if best else ranked
 
 
-def niche_latin(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
-    top = ranked[0][0]
+def niche_latin(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    """A niche encoding goes last unless a byte of its own is seen and it is clearly ahead or reads those bytes better."""
+    top = ranked[0]
     rivals = [i for i in range(1, len(ranked)) if ranked[i][0] in COMMON_LATIN]
-    if top not in NICHE_LATIN or not rivals:
+    if top[0] not in NICHE_LATIN or not rivals:
         return ranked
     lead = max(ranked[i][1] for i in rivals)
     i = min((k for k in rivals if lead - ranked[k][1] <= DEAD_HEAT), key=lambda k: (_era(ranked[k][0]), k))
-    seen = differing(top, "iso8859-1") & set(data)
-    if seen and (ranked[0][1] - ranked[i][1] > BAND or arbitrate(data, top, ranked[i][0]) == top):
-        return ranked
+    own, rival = NICHE_LATIN[top[0]], ranked[i]
+    if own & set(seen.data):
+        speaks = lambda r: _spoken(r) or None
+        if top[1] - rival[1] > BAND or seen.arbitrate(top[0], rival[0], own, speaks(top), speaks(rival)) == top[0]:
+            return ranked
     others = [r for k, r in enumerate(ranked) if k not in (0, i)]
-    last = (top, min(ranked[0][1], others[-1][1] if others else ranked[0][1]), *ranked[0][2:])
+    last = (top[0], min(top[1], others[-1][1] if others else top[1]), *top[2:])
     return [promote(ranked, i)[0], *others, last]
 
 
-def koi8_t(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
-    if ranked[0][0] != "koi8-r" or len(data.translate(None, KOI8_T)) == len(data):
+def koi8_t(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    if ranked[0][0] != "koi8-r" or len(seen.data.translate(None, KOI8_T)) == len(seen.data):
         return ranked
     return next((promote(ranked, i) for i, r in enumerate(ranked) if r[0] == "koi8-t"), ranked)
 
 
-def mac_line_ends(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
-    mac = int(R.Era.LEGACY_MAC)
-    if _era(ranked[0][0]) == mac or b"\n" in data or data.count(b"\r") < 3:
+def mac_line_ends(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    """Lines that end in bare carriage returns speak for a Mac encoding near the first, unless the bytes speak for the first."""
+    mac, top = int(R.Era.LEGACY_MAC), ranked[0]
+    if _era(top[0]) == mac or top[2] == ART or b"\n" in seen.data or seen.data.count(b"\r") < CR_LINES:
         return ranked
     i = next((k for k in _within(ranked, BAND) if _era(ranked[k][0]) == mac), None)
-    return ranked if i is None or arbitrate(data, ranked[0][0], ranked[i][0]) == ranked[0][0] else promote(ranked, i)
+    if i is None or seen.settle(top[0], ranked[i][0], _spoken(top, ranked[i])) == top[0]:
+        return ranked
+    return promote(ranked, i)
+
 
+def cut_after_ascii(data: bytes, encoding: str) -> bool:
+    """Whether a value reads as plain text and then the beginning of one character."""
+    if C.decodes(data, encoding, whole=True) or not C.decodes(data, encoding):
+        return False
+    whole = next((data[:-k] for k in range(1, 8) if C.decodes(data[:-k], encoding, whole=True)), b"")
+    text = whole.decode(C.PYTHON_NAMES.get(encoding, encoding), "ignore")
+    return bool(text) and text.isascii()
 
-def decodable_on_tie(data: bytes, ranked: list[Result], cut: bool) -> list[Result]:
+
+def decodes_under_both_names(data: bytes, encoding: str) -> bool:
+    """Whether a value decodes whole under an encoding and under the one that its displayed name stands for."""
+    if not C.decodes(data, encoding, whole=True):
+        return False
+    try:
+        data.decode(R.DISPLAY.get(encoding, "latin-1"))
+    except UnicodeDecodeError:
+        return False
+    except LookupError:
+        return True
+    return True
+
+
+def decodable_on_tie(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
     """Where the first would leave a cut character after plain text, the first that decodes whole."""
-    top = ranked[0][0]
-    if cut or not any(b >= 0x80 for b in data[-4:]) or C.decodes(data, top, whole=True):
-        return ranked
-    if not data[: next(k for k, b in enumerate(data) if b >= 0x80)] or len(data.translate(None, bytes(range(0x80)))) > 3:
+    if cut or not any(b >= 0x80 for b in seen.data[-4:]) or not cut_after_ascii(seen.data, ranked[0][0]):
         return ranked
-    return next((promote(ranked, i) for i in range(1, len(ranked)) if C.decodes(data, ranked[i][0], whole=True)), ranked)
+    return next((promote(ranked, i) for i in range(1, len(ranked)) if decodes_under_both_names(seen.data, ranked[i][0])), ranked)
 
 
-CORRECTIONS: tuple[Callable[[bytes, list[Result], bool], list[Result]], ...] = (superset_on_dead_heat, prevalent_on_dead_heat, rare_language, confusable, niche_latin, koi8_t, mac_line_ends, decodable_on_tie)
+CORRECTIONS: tuple[Callable[[Evidence, list[Result], bool], list[Result]], ...] = (superset_on_dead_heat, prevalent_on_dead_heat, rare_language, confusable, niche_latin, koi8_t, mac_line_ends, decodable_on_tie)
+
+
+def scoring_floor(first: float, second: float) -> float:
+    """The confidence below which no correction can lift a result, given the first two."""
+    floor = second - (RARE_WITHIN + 2 * BAND)
+    return min(floor, first * LOW_SHARE) if first < LOW else floor
 
 
 def common_leads(data: bytes, encoding: str) -> tuple[float, float]:
@@ -284,9 +289,10 @@ class Detector:
         ranked.sort(key=lambda r: -r[1])
         if not ranked:
             return self._fallback(self.options.no_match_encoding)
+        seen = Evidence(evidence, self.models)
         for step in CORRECTIONS:
             if len(ranked) > 1:
-                ranked = step(evidence, ranked, cut)
+                ranked = step(seen, ranked, cut)
         if len(data) > len(evidence):
             whole = next((r for r in ranked if C.decodes(data, r[0])), None)
             return [whole] if whole else self._fallback(self.options.no_match_encoding)
@@ -303,26 +309,32 @@ class Detector:
         only = lambda n: R.BY_NAME[n].languages[0]
         return [(n, round(0.9 * share * math.exp(density - best), 6), only(n), None) for n, (density, share) in scored.items()]
 
-    def language(self, data: bytes, encoding: str) -> str | None:
-        """The only language of an encoding, else the best model's under it, else that of the text as UTF-8."""
-        head, thin = data[:LANGUAGE_BYTES], len(data) < THIN
+    def language(self, data: bytes, encoding: str, given: str | None = None) -> str | None:
+        """The only language of an encoding, else the nearest model's under it, else that of the text as UTF-8.
+
+        A language that is given stays, but in values below THIN bytes a rare one is looked at again.
+        """
+        head = data[:LANGUAGE_BYTES]
+        thin = 0 < len(head) < THIN
+        again = thin and given in RARE
+        if given and not again:
+            return given
         listed = R.BY_NAME[encoding].languages if encoding in R.BY_NAME else ()
-        if len(listed) == 1:
-            return listed[0]
-        if not self.models or not head:
-            return None
-        own = self.models.best(head, [encoding]).get(encoding)
-        if own and not (thin and own[1] in RARE):
-            return own[1]
-        name = C.PYTHON_NAMES.get(encoding, encoding)
-        again = self.models.best(head.decode(name, "ignore").encode(), ["utf-8"]).get("utf-8") if not R.BY_NAME[encoding].is_multibyte else None
-        return again[1] if again and (own is None or again[1] not in RARE) else own[1] if own else None
+        found = listed[0] if len(listed) == 1 and not again else None
+        if self.models and head:
+            found = found or self.models.language(head, encoding, thin)
+            if found is None or (thin and found in RARE):
+                text = head.decode(C.PYTHON_NAMES.get(encoding, encoding), "ignore")
+                read = self.models.language(text.encode("utf-8", "ignore"), "utf-8", thin)
+                if found is None or (read and read not in RARE):
+                    found = read
+        return given if found is None or (again and found in RARE) else found
 
     def finish(self, data: bytes, ranked: list[Result]) -> list[Result]:
         """Languages (zxx: none), default types, and confidences held to 1."""
         out = []
         for encoding, confidence, language, mime in ranked:
-            language = language or (self.language(data, encoding) if encoding else None)
+            language = self.language(data, encoding, language) if encoding else language
             out.append((encoding, min(1.0, confidence), None if language == "zxx" else language, mime or ("text/plain" if encoding else "application/octet-stream")))
         return out
 

@@ -213,7 +213,7 @@ def oracle_sql() -> dict[str, str]:
         "q_byte_profile": f"{CASES} SELECT doc_id, CAST({n} AS BIGINT) AS n_bytes, {_bytes("x >= '80'")} AS n_high, {_bytes(_CONTROL)} AS n_control FROM cases",
         "q_detect": f"{CASES}, known AS (SELECT doc_id, doc_id % {len(PREFIXES)} AS p, octet_length(content) AS n, text, {plain} = '' AS plain, {_bytes("x = '00'")} / least(octet_length(content), 4096) >= 0.015 AND octet_length(content) >= 10 AS zeros, {high} AS high FROM cases JOIN documents USING (doc_id)), "
         "found AS (SELECT *, CASE WHEN p IN (1, 2, 3) OR p IN (4, 5) AND n % 4 = 0 OR p = 5 THEN 'mark' WHEN p IN (9, 16, 17) THEN 'escape' WHEN p IN (6, 7, 8, 10) OR p IN (12, 14, 15, 19) AND NOT zeros OR p IN (11, 18) AND NOT zeros AND n >= 24 THEN 'file' "
-        "WHEN p = 13 AND NOT zeros AND high > 0 THEN 'utf8' WHEN p = 13 AND NOT zeros AND n < 800 OR p = 4 AND NOT zeros AND n < 200 THEN 'binary' WHEN p > 0 THEN 'unsure' WHEN n = 0 THEN 'empty' WHEN plain AND regexp_matches(text, '~\{|\+[A-Za-z0-9+/]{2}') THEN 'unsure' WHEN plain THEN 'ascii' ELSE 'utf8' END AS kind FROM known) "
+        "WHEN p = 13 AND NOT zeros AND high > 0 THEN 'utf8' WHEN p = 13 AND NOT zeros AND n < 800 OR p = 4 AND NOT zeros AND n < 200 THEN 'binary' WHEN p > 0 THEN 'unsure' WHEN n = 0 THEN 'empty' WHEN plain AND regexp_matches(text, '~\\{|\\+[A-Za-z0-9+/]{2}') THEN 'unsure' WHEN plain THEN 'ascii' ELSE 'utf8' END AS kind FROM known) "
         "SELECT doc_id, CASE kind WHEN 'mark' THEN CASE p WHEN 1 THEN 'utf-8-sig' WHEN 4 THEN 'utf-32' WHEN 5 THEN CASE WHEN n % 4 = 0 THEN 'utf-32' ELSE 'utf-16' END ELSE 'utf-16' END WHEN 'escape' THEN CASE p WHEN 9 THEN 'iso2022_jp_2' WHEN 16 THEN 'iso2022_jp_ext' ELSE 'iso2022_kr' END WHEN 'empty' THEN 'utf-8' WHEN 'ascii' THEN 'ascii' WHEN 'utf8' THEN 'utf-8' END AS encoding, "
         "CAST(CASE kind WHEN 'mark' THEN 1.0 WHEN 'escape' THEN 0.95 WHEN 'file' THEN 1.0 WHEN 'binary' THEN 0.95 WHEN 'empty' THEN 0.1 WHEN 'ascii' THEN 1.0 WHEN 'utf8' THEN round(least(CAST(0.99 AS DOUBLE), CAST(0.80 AS DOUBLE) + CAST(0.19 AS DOUBLE) * least(CAST(high AS DOUBLE) / n * 6.0, 1.0)), 9) END AS DOUBLE) AS confidence, "
         "CASE WHEN kind = 'binary' THEN 'application/octet-stream' WHEN kind = 'file' THEN CASE p WHEN 6 THEN 'image/png' WHEN 7 THEN 'image/gif' WHEN 8 THEN 'application/gzip' WHEN 10 THEN 'application/pdf' WHEN 11 THEN 'video/mp4' WHEN 12 THEN 'image/webp' WHEN 14 THEN 'application/x-mach-binary' WHEN 15 THEN 'application/java-vm' WHEN 18 THEN 'image/avif' ELSE 'audio/aiff' END WHEN kind <> 'unsure' THEN 'text/plain' END AS mime_type FROM found",

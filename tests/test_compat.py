@@ -6,8 +6,8 @@ import numpy as np
 import pytest
 
 from byteloom import compat
+from byteloom.functions import evidence
 from byteloom.functions import models as M
-from byteloom.functions import ranking
 from byteloom.sources import model_files as MF
 
 
@@ -53,7 +53,7 @@ def test_pairs(spark):
     assert MF.pairs_table(spark, pairs).count() == 2
     with pytest.raises(ValueError):
         MF.parse_pairs(MF.dump_pairs(pairs)[:-3])
-    assert set(pairs["cp1252", "iso8859-15"]) <= ranking.differing("cp1252", "iso8859-15")
+    assert set(pairs["cp1252", "iso8859-15"]) <= evidence.differing("cp1252", "iso8859-15")
 
 
 def test_single_values(spark):

@@ -3,11 +3,10 @@
 import glob
 import os
 import random
-import unicodedata
 
 import pytest
 
-from byteloom.functions import ranking, registry
+from byteloom.functions import registry
 from byteloom.functions.ranking import Options
 from byteloom.operators import identify
 from byteloom.operators.detect import detect_deterministic
@@ -65,33 +64,5 @@ def test_deterministic_is_detect_or_null(spark):
     assert sum(r["a"] is not None for r in both) > 150
 
 
-def test_votes_against_a_plain_walk():
-    def plain(data, a, b):
-        odd, x, y = ranking.differing(a, b), ranking._characters(a), ranking._characters(b)
-        seen, votes = {}, 0
-        for k, byte in enumerate(data):
-            if byte not in odd or seen.setdefault(byte, 0) >= ranking.VOTES:
-                continue
-            seen[byte] += 1
-
-            def fits(t, k=k, byte=byte):
-                kind = unicodedata.category(t[byte])
-                near = sum(t[n].isalpha() for n in data[max(0, k - 1) : k] + data[k + 1 : k + 2])
-                if t[byte] == "\ufffd" or kind == "Cc":
-                    return -1.0
-                if kind[0] != "L":
-                    return 0.5 if near < 2 else -0.25
-                return (0.5 if near else -0.5) - (0.75 if kind == "Lu" and k > 0 and t[data[k - 1]].islower() else 0)
-
-            votes += (fits(x) > fits(y)) - (fits(x) < fits(y))
-        return a if votes > 0 else b if votes < 0 else None
-
-    rng = random.Random(4)
-    for _ in range(200):
-        data = bytes(rng.choice(b"abcABC \x80\x85\x92\xa4\xbe\xc0\xe9\xf0\xfe") for _ in range(rng.choice([0, 1, 30, 9000])))
-        for a, b in (("cp1252", "iso8859-15"), ("koi8-r", "koi8-u"), ("cp850", "cp437"), ("iso8859-1", "iso8859-1")):
-            assert ranking.arbitrate(data, a, b) == plain(data, a, b)
-
-
 def test_aliases_with_dots():
     assert registry.lookup("ANSI_X3.4-1986") == registry.lookup("iso_646.irv_1991") == "ascii"
