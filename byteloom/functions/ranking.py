@@ -202,6 +202,13 @@ def decodable_on_tie(seen: Evidence, ranked: list[Result], cut: bool) -> list[Re
 CORRECTIONS: tuple[Callable[[Evidence, list[Result], bool], list[Result]], ...] = (superset_on_dead_heat, prevalent_on_dead_heat, rare_language, confusable, niche_latin, koi8_t, mac_line_ends, decodable_on_tie)
 
 
+def corrected(seen: Evidence, ranked: list[Result], cut: bool) -> list[Result]:
+    """A ranking after all corrections, in their order; one result alone stays as it is."""
+    for step in CORRECTIONS if len(ranked) > 1 else ():
+        ranked = step(seen, ranked, cut)
+    return ranked
+
+
 def scoring_floor(first: float, second: float) -> float:
     """The confidence below which no correction can lift a result, given the first two."""
     floor = second - (RARE_WITHIN + 2 * BAND)
@@ -289,10 +296,7 @@ class Detector:
         ranked.sort(key=lambda r: -r[1])
         if not ranked:
             return self._fallback(self.options.no_match_encoding)
-        seen = Evidence(evidence, self.models)
-        for step in CORRECTIONS:
-            if len(ranked) > 1:
-                ranked = step(seen, ranked, cut)
+        ranked = corrected(Evidence(evidence, self.models), ranked, cut)
         if len(data) > len(evidence):
             whole = next((r for r in ranked if C.decodes(data, r[0])), None)
             return [whole] if whole else self._fallback(self.options.no_match_encoding)

@@ -11,11 +11,13 @@ import tarfile
 import zipfile
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from byteloom.functions.charset import decodes
-from byteloom.functions.ranking import Options
+from byteloom.functions.evidence import Evidence, differing
+from byteloom.functions.ranking import Options, corrected
 from byteloom.operators.identify import detect, detect_all_rows
 
 JA = "日本語のテキストです。これは文字コードを調べるための例文です。"
@@ -95,6 +97,31 @@ VALID = (
     (b"\xc4\xe3", "gb18030", True), (b"\xff\xff", "gb18030", False), (b"\x1b$B$\"\x1b(B", "iso2022_jp_2", True), (b"~{VPND~}", "hz", True), (b"~z", "hz", False),
 )
 
+#: Bytes, two encodings, which one the vote on their differing bytes is for, whether it is decisive. Weighed by hand.
+VOTES = (
+    (b"5 \xa4", "iso8859-1", "iso8859-15", None, False),  # both currency signs
+    (b"c\xbdur", "iso8859-1", "iso8859-15", "iso8859-15", False),  # a number 7, a letter between letters 10
+    (b"2 \xbd 3 \xbd", "iso8859-1", "iso8859-15", "iso8859-1", True),  # a number 7, a letter among blanks 2, twice
+    (b"2 \xbd", "iso8859-1", "iso8859-15", "iso8859-1", False),  # once
+    (b"a\x80b", "cp1252", "iso8859-1", "cp1252", False),  # a currency sign 5, a control 1
+    (b"plain", "cp1252", "iso8859-1", None, False),
+    (b"a\x93b", "cp1252", "cp1251", None, False),  # the same mark under both
+    (b"x\xd7x", "iso8859-1", "iso8859-14", "iso8859-14", False),  # a times sign 5, a capital between letters 10
+)
+#: Bytes, a ranking as encoding:confidence:language, its order after all corrections. Worked out by hand, without models.
+RANKED = (
+    (b"\x82\xa0", "shift_jis_2004:0.5:ja cp932:0.5:ja", "cp932 shift_jis_2004"),
+    (b"\x82\xa0", "shift_jis_2004:0.5:ja cp932:0.4:ja", "shift_jis_2004 cp932"),
+    (b"abc", "iso8859-14:0.14:gd iso8859-1:0.13:en", "iso8859-1 iso8859-14"),
+    (b"c\xbdur", "iso8859-1:0.5:fr iso8859-15:0.4:fr", "iso8859-15 iso8859-1"),
+    (b"2 \xbd 3 \xbd", "iso8859-1:0.5:fr iso8859-15:0.4:fr", "iso8859-1 iso8859-15"),
+    (b"caf\xe9", "cp1254:0.5:tr cp1252:0.4:fr koi8-r:0.1:ru", "cp1252 koi8-r cp1254"),
+    (b"\xc1\x8a", "koi8-r:0.5:ru koi8-t:0.2:tg", "koi8-t koi8-r"),
+    (b"a\rb\rc\r", "cp1252:0.5:fr mac-roman:0.497:fr", "mac-roman cp1252"),
+    (b"a\rb\rc\r\n", "cp1252:0.5:fr mac-roman:0.497:fr", "cp1252 mac-roman"),
+    (b"caf\xe9", "cp932:0.5:ja cp1252:0.3:fr", "cp1252 cp932"),
+)
+
 
 def _probes(spark: SparkSession, sf_dir: str, listed: tuple[bytes, ...]) -> DataFrame:
     one = F.unhex(F.element_at(F.lit([b.hex() for b in listed]), (F.pmod("doc_id", F.lit(len(listed))) + 1).cast("int")))
@@ -136,14 +163,40 @@ def q_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = F.element_at(F.lit([n for _, n, _ in VALID]), (F.pmod("doc_id", F.lit(len(VALID))) + 1).cast("int"))
 
     def check(content, encoding):
-        import pandas as pd
-
         return pd.Series([decodes(bytes(c), e) for c, e in zip(content, encoding, strict=True)], dtype=bool)
 
     rows = _probes(spark, sf_dir, tuple(b for b, _, _ in VALID)).withColumn("encoding", names)
     return rows.select("doc_id", "encoding", F.pandas_udf(check, "boolean")("content", "encoding").alias("valid"))
 
 
+def q_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vote of two encodings on the bytes that they read differently."""
+    names = F.element_at(F.lit([f"{a} {b}" for _, a, b, _, _ in VOTES]), (F.pmod("doc_id", F.lit(len(VOTES))) + 1).cast("int"))
+
+    def vote(content: pd.Series, pair: pd.Series) -> pd.DataFrame:
+        found = [Evidence(bytes(c)).vote(*p.split(), differing(*p.split())) for c, p in zip(content, pair, strict=True)]
+        return pd.DataFrame(found, columns=["winner", "decisive"])
+
+    rows = _probes(spark, sf_dir, tuple(v[0] for v in VOTES)).withColumn("pair", names)
+    return rows.select("doc_id", "pair", F.pandas_udf(vote, "winner string, decisive boolean")("content", "pair").alias("v")).select("doc_id", "pair", "v.winner", "v.decisive")
+
+
+def q_rank_corrections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of given rankings after the eight corrections."""
+    given = F.element_at(F.lit([r for _, r, _ in RANKED]), (F.pmod("doc_id", F.lit(len(RANKED))) + 1).cast("int"))
+
+    def order(content: pd.Series, ranking: pd.Series) -> pd.Series:
+        out = []
+        for c, listed in zip(content, ranking, strict=True):
+            parts = [r.split(":") for r in listed.split()]
+            ranked = corrected(Evidence(bytes(c)), [(e, float(x), lang, None) for e, x, lang in parts], False)
+            out.append(" ".join(r[0] for r in ranked))
+        return pd.Series(out, dtype=object)
+
+    rows = _probes(spark, sf_dir, tuple(r[0] for r in RANKED)).withColumn("ranking", given)
+    return rows.select("doc_id", "ranking", F.pandas_udf(order, "string")("content", "ranking").alias("corrected"))
+
+
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("content"))
 
@@ -166,7 +219,7 @@ def q_ranked_certain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (q_wide, q_escaped, q_marked, q_contained, q_multibyte, q_valid, q_superset, q_filtered, q_ranked_certain)}
+    return {f.__name__: f for f in (q_wide, q_escaped, q_marked, q_contained, q_multibyte, q_valid, q_votes, q_rank_corrections, q_superset, q_filtered, q_ranked_certain)}
 
 
 def _literal(v: object) -> str:
@@ -187,6 +240,8 @@ def oracle_sql() -> dict[str, str]:
     out = {f"q_{k}": _expected(v, names, 1) for k, v in (("wide", WIDE), ("escaped", ESCAPED), ("marked", MARKED), ("contained", CONTAINED))}
     out["q_multibyte"] = _expected(tuple((c[0], c[1], c[3], c[4]) for c in MULTIBYTE), ("encoding", "language", "mime_type"), 1)
     out["q_valid"] = _expected(VALID, ("encoding", "valid"), 1)
+    out["q_votes"] = _expected(tuple((None, f"{a} {b}", w, d) for _, a, b, w, d in VOTES), ("pair", "winner", "decisive"), 1)
+    out["q_rank_corrections"] = _expected(RANKED, ("ranking", "corrected"), 1)
     plain = "coalesce(regexp_full_match(text, '[\\t\\n\\r -~]+'), false)"
     empty = "coalesce(text, '') = ''"
     out["q_superset"] = f"SELECT doc_id, CASE WHEN {plain} AND NOT {empty} THEN 'Windows-1252' ELSE 'utf-8' END AS compatible, CASE WHEN {plain} AND NOT {empty} THEN 'cp1252' ELSE 'utf-8' END AS canonical FROM documents"
