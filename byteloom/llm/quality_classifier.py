@@ -180,7 +180,7 @@ def train(rows: list[tuple[bytes, bytes, float]], rounds: int = 300, rate: float
 
 
 def fit(docs: DataFrame, text_col: str = "text", sample: int = SAMPLE) -> tuple[vote_em.VoteModel, np.ndarray, float]:
-    """Labeller accuracies from all documents, and the scorer from a sample of them."""
+    """Labeller accuracies from all documents, and the scorer from a sample of them; texts with equal features and votes count once."""
     spark = docs.sparkSession
     tune(spark)
     # By distinct texts, not rows: in a table of many copies a share of the rows may hold no text at all.
