@@ -49,19 +49,25 @@ def input_rows(counts: np.ndarray, starts: np.ndarray | None = None) -> np.ndarr
     return rows.astype(np.int32)
 
 
+def group(vocab: Vocabulary, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """The number of each id's class after the id before it."""
+    return before * CLASSES + vocab.classes[ids]
+
+
 class Pairs:
-    """Shares of ids that go on with a word, after the id before them. kept: pair (before * ids + id) -> times, of a bounded number of the commonest pairs."""
+    """Shares of ids that go on with a word, after the id before them. pairs: pair (before * ids + id) -> times; groups -> totals: the times of all pairs of a group, by default of those given."""
 
-    def __init__(self, vocab: Vocabulary, pairs: np.ndarray, times: np.ndarray) -> None:
+    def __init__(self, vocab: Vocabulary, pairs: np.ndarray, times: np.ndarray, groups: np.ndarray | None = None, totals: np.ndarray | None = None) -> None:
         self.vocab, self.n = vocab, len(vocab.classes)
         self.anywhere = 10.0**vocab.logp
         order = np.argsort(pairs)
         self.pairs, self.times = pairs[order], times[order].astype(np.float64)
-        self.groups, where = np.unique(self._group(self.pairs // self.n, self.pairs % self.n), return_inverse=True)
-        self.totals = np.bincount(where, weights=self.times, minlength=len(self.groups))
-
-    def _group(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        return before * CLASSES + self.vocab.classes[ids]
+        if groups is None:
+            self.groups, where = np.unique(group(vocab, self.pairs // self.n, self.pairs % self.n), return_inverse=True)
+            self.totals = np.bincount(where, weights=self.times, minlength=len(self.groups))
+        else:
+            order = np.argsort(groups)
+            self.groups, self.totals = groups[order], totals[order].astype(np.float64)
 
     @staticmethod
     def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -73,11 +79,15 @@ class Pairs:
         return np.where(keys[at] == wanted, values[at], 0.0)[back]
 
     def shares(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """log10 of each id's share of its class after the id before it."""
+        """log10 of each id's share of its class after the id before it; a pair that was not given counts as seen 0 times."""
         times = self._found(self.pairs, self.times, before * self.n + ids)
-        total = self._found(self.groups, self.totals, self._group(before, ids))
+        total = self._found(self.groups, self.totals, group(self.vocab, before, ids))
         return np.log10((times + SMOOTH * self.anywhere[ids]) / (total + SMOOTH))
 
+    def holds(self, before: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        """Which pairs were given."""
+        return self._found(self.pairs, np.ones(len(self.pairs)), before * self.n + ids) > 0
+
 
 def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds each row of values to the row of total that rows names."""

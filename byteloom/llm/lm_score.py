@@ -6,8 +6,9 @@ table, are broadcast; a document's other words, once a document, meet their coun
 too long for the table can be hot there, and the join's other side has one row a word.
 
 The attention model works on the words' subword ids. Shares of ids in their classes, and of ids after
-others within a word, come from the word counts of all training documents; the PAIRS commonest pairs are
-told apart. Classes come from the neighbours of every id in all training documents, and the network is
+others within a word, come from the word counts of all training documents. The shares of a word's ids add
+up to one number, worked out once a distinct word: the PAIRS commonest pairs of ids are broadcast, the
+others meet their counts in a join. Documents get their words' numbers as they get their counts. Classes come from the neighbours of every id in all training documents, and the network is
 trained on every window of all of them: the documents are dealt into ROUNDS rounds, in each of which
 every task goes over its own documents of the round from the same weights, and the tasks' weights are
 averaged, an embedding row by how often a task used it.
@@ -26,6 +27,7 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +43,10 @@ ROUNDS, RATE, FAN = 6, 4e-3, 4
 #: Longer words are never broadcast but joined, so the table has at most HEAVY * HEAVY_BYTES bytes of words.
 HEAVY_BYTES = 256
 CACHE_SIZE, CACHE_BYTES = 1 << 18, 64
-#: Pairs of ids within a word whose counts are broadcast, 16 bytes each.
+#: Pairs of ids within a word whose counts are broadcast, 16 bytes each; the others are joined.
 PAIRS = 1 << 19
+#: Words' shares are multiples of this, so that their sums are exact in any order.
+GRID = 2.0**-24
 
 
 def held_out(id_col: str) -> Column:
@@ -76,35 +80,6 @@ class Subwords(dict):
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2").astype(np.int64)
 
 
-class Shares(dict):
-    """word -> log10 of the shares of its ids; filled for the words of one batch at a time."""
-
-    def __init__(self, own: Subwords, pairs: net.Pairs) -> None:
-        super().__init__()
-        self.own, self.pairs = own, pairs
-
-    def of(self, texts: list[list[bytes]]) -> list[float]:
-        """The sum for each text, given as words."""
-        words = set().union(*texts)
-        missing = [w for w in words if w not in self]
-        if len(self) + len(missing) > CACHE_SIZE:
-            self.clear()
-            missing = list(words)
-        coded = list(map(self.own.__getitem__, missing))
-        for k in range(0, len(missing), 1 << 16):
-            ids = np.frombuffer(b"".join(coded[k : k + (1 << 16)]), "<u2").astype(np.int64)
-            sizes = np.array([len(x) // 2 for x in coded[k : k + (1 << 16)]])
-            first = np.cumsum(sizes) - sizes
-            share = self.pairs.shares(np.concatenate([ids[:1], ids[:-1]]), ids)
-            share[first] = self.pairs.vocab.logp[ids[first]]
-            self.update(zip(missing[k : k + (1 << 16)], np.add.reduceat(share, first).tolist(), strict=True))
-        out = [sum(map(self.__getitem__, w)) for w in texts]
-        for w in missing:
-            if len(w) > CACHE_BYTES:
-                del self[w]
-        return out
-
-
 _SUBWORDS: dict[str, Subwords] = {}
 
 
@@ -153,29 +128,99 @@ def threshold(words: DataFrame, most: int) -> int:
     return least
 
 
-def subword_counts(words: DataFrame, path: str, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How often each id stands in the training documents, and the commonest pairs (before * ids + id) within words with their times."""
-    size, end = subwords(path, pattern).size, subwords(path, pattern).size - 1
+def spelt(words: DataFrame, path: str, pattern: str) -> DataFrame:
+    """words with a key and the ids of each word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, task = subwords(path, pattern), TaskContext.get()
+        number = (task.partitionId() if task else 0) << 40
+        for batch in batches:
+            ids = [np.array(own.encode(" " + w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(ids)), pa.int64()), *batch.columns, pa.array(ids, pa.binary())], ["key", "word", "c", "n", "ids"])
+            number += len(ids)
+
+    return materialize(words.select("word", "c", "n").mapInArrow(run, "key long, word string, c long, n long, ids binary"), "spelt")
+
+
+def chained(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For words as uint16 bytes: the id before each id (the end before a word's first), the ids in a row, and the index of each word's first."""
+    row = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int64)
+    sizes = pc.binary_length(ids).to_numpy() // 2
+    first = np.cumsum(sizes) - sizes
+    before = np.concatenate([row[:1], row[:-1]])
+    before[first] = end
+    return before, row, first
+
+
+def subword_counts(words: DataFrame, size: int) -> tuple[np.ndarray, DataFrame]:
+    """How often each id stands in the training documents, and (pair, c, n): each pair (before * ids + id), its times in training documents and in all; the end stands before a word's first id. words: from spelt()."""
+    end = size - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = subwords(path, pattern)
         for batch in batches:
-            encoded = [np.array([end, *own.encode(" " + w)], np.int64) for w in batch.column(0).to_pylist()]
-            if not encoded:
+            if not batch.num_rows:
                 continue
-            times = np.repeat(batch.column(1).to_numpy(), [len(x) - 1 for x in encoded])
-            pairs, where = np.unique(np.concatenate([x[:-1] * size + x[1:] for x in encoded]), return_inverse=True)
-            total = np.bincount(where, weights=times, minlength=len(pairs)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(total)], ["pair", "n"])
+            before, ids, first = chained(batch.column(2), end)
+            sizes = np.diff(first, append=len(ids))
+            pairs, where = np.unique(before * size + ids, return_inverse=True)
+            c, n = (np.bincount(where, weights=np.repeat(batch.column(k).to_numpy(), sizes), minlength=len(pairs)).astype(np.int64) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(c), pa.array(n)], ["pair", "c", "n"])
 
-    counted = materialize(words.where("c > 0").select("word", "c").mapInArrow(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
+    counted = materialize(words.select("c", "n", "ids").mapInArrow(run, "pair long, c long, n long").groupBy("pair").agg(F.sum("c").alias("c"), F.sum("n").alias("n")), "pairs")
     counts = np.zeros(size)
-    for r in counted.groupBy((F.col("pair") % size).alias("id")).agg(F.sum("n").alias("n")).collect():
-        counts[r["id"]] = r["n"]
-    inner = counted.where(F.col("pair") < end * size)
-    chosen = inner.where(F.col("n") >= threshold(inner, PAIRS)).toArrow()
-    discard(counted)
-    return counts, chosen["pair"].to_numpy().astype(np.int64), chosen["n"].to_numpy().astype(np.int64)
+    for r in counted.groupBy((F.col("pair") % size).alias("id")).agg(F.sum("c").alias("c")).collect():
+        counts[r["id"]] = r["c"]
+    return counts, counted
+
+
+def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, most: int) -> DataFrame:
+    """(word, c, n, share): the sum of log10 of the shares of each word's ids. words, counted: from spelt() and subword_counts(), deleted here; most: how many pairs are broadcast."""
+    spark, size, end, given = words.sparkSession, len(vocab.classes), vocab.end, counted
+    counted = given.where(F.col("pair") < end * size)
+
+    def groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(net.group(vocab, pair // size, pair % size)), batch.column(1)], ["of", "c"])
+
+    # An id before and a class: as many as the ids and classes allow, whatever the input.
+    totals = counted.where("c > 0").select("pair", "c").mapInArrow(groups, "of long, c long").groupBy("of").agg(F.sum("c").alias("c")).toArrow()
+    least = threshold(counted, most)
+    chosen = counted.where(F.col("n") >= least).select("pair", "c").toArrow()
+    pairs = net.Pairs(vocab, *(t[k].to_numpy().astype(np.int64) for t, k in ((chosen, "pair"), (chosen, "c"), (totals, "of"), (totals, "c"))))
+    shared = spark.sparkContext.broadcast(pairs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            before, ids, first = chained(batch.column(4), end)
+            share, rest = pairs.shares(before, ids), ~pairs.holds(before, ids)
+            share[first], rest[first] = pairs.vocab.logp[ids[first]], False
+            upto = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int32), first))])
+            others = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array((before * size + ids)[rest], pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.add.reduceat(share, first)), others], ["key", "word", "c", "n", "share", "rest"])
+
+    def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What a pair's count adds to the share that it has without one."""
+        for batch in batches:
+            pair = batch.column(0).to_numpy()
+            more = np.log10(1 + batch.column(1).to_numpy() / (net.SMOOTH * 10.0 ** vocab.logp[pair % size]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more)], ["pair", "more"])
+
+    told = partly = words.mapInArrow(run, "key long, word string, c long, n long, share double, rest array<long>")
+    others = counted.where(F.col("n") < least)
+    share = F.col("share")
+    if not others.isEmpty():
+        told = partly = materialize(told, "told")
+        # A pair is in no more rows here than its times in all documents, which are fewer than those of the broadcast ones.
+        gained = told.select("key", F.explode("rest").alias("pair")).join(others.where("c > 0").select("pair", "c").mapInArrow(gains, "pair long, more double"), "pair")
+        told, share = told.join(gained.groupBy("key").agg(F.sum("more").alias("more")), "key", "left"), share + F.coalesce("more", F.lit(0.0))
+    out = materialize(told.select("word", "c", "n", (F.rint(share / GRID) * GRID).alias("share")), "shares")
+    discard(words, given, partly)
+    shared.unpersist()
+    return out
 
 
 def encoded(rows: DataFrame, path: str, pattern: str, inputs: np.ndarray, seen: np.ndarray) -> DataFrame:
@@ -259,35 +304,40 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 class Counted:
-    """Word counts over all training documents: the table of all words, the common ones, and the sums."""
+    """Word counts over all training documents: the table of all words, and the sums."""
 
-    def __init__(self, rows: DataFrame, heavy: int) -> None:
+    def __init__(self, rows: DataFrame) -> None:
         self.n_train = rows.agg(F.sum((~F.col("held")).cast("long"))).first()[0] or 0
         self.words = word_counts(rows.select("content", "held"))
         distinct, total = (x or 0 for x in self.words.where("c > 0").agg(F.count("*"), F.sum("c")).first())
         self.n_all, self.v_all = total + self.n_train, distinct + (self.n_train > 0)
-        chosen = self.words.where((F.col("n") >= threshold(self.words, heavy)) & (F.octet_length("word") <= HEAVY_BYTES)).select("word", "c").toArrow()
-        self.common = dict(zip((w.encode() for w in chosen["word"].to_pylist()), chosen["c"].to_pylist(), strict=True))
 
 
-def _scored(rows: DataFrame, counted: Counted, id_col: str, model: tuple | None) -> DataFrame:
-    """A row a document: the base, and the score of model (tokenizer's path and pattern, vocabulary, pairs, parameters) if there is one."""
+def common_words(words: DataFrame, heavy: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The commonest words, their counts and shares (0 without)."""
+    share = F.col("share") if "share" in words.columns else F.lit(0.0)
+    chosen = words.where((F.col("n") >= threshold(words, heavy)) & (F.octet_length("word") <= HEAVY_BYTES)).select("word", "c", share.alias("share")).toArrow()
+    return [w.encode() for w in chosen["word"].to_pylist()], chosen["c"].to_numpy(), chosen["share"].to_numpy()
+
+
+def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: tuple | None) -> DataFrame:
+    """A row a document: the base, and the score of model (tokenizer's path and pattern, vocabulary, parameters) if there is one; the words then have shares."""
     spark, n_train = rows.sparkSession, counted.n_train
-    shared = spark.sparkContext.broadcast((counted.common, model))
+    shared = spark.sparkContext.broadcast((common_words(counted.words, heavy), model))
     end = log10(n_train + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common, model = shared.value
-        table = {w: log10(c + 1) for w, c in common.items()}
+        (common, counts, told), model = shared.value
+        table = dict(zip(common, np.log10(counts + 1.0).tolist(), strict=True))
+        told = dict(zip(common, told.tolist(), strict=True))
         if model:
-            path, pattern, vocab, pairs, p = model
+            path, pattern, vocab, p = model
             own = subwords(path, pattern)
-            share = Shares(own, net.Pairs(vocab, *pairs))
             p = net.projected(p)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            ids, known, base, size, rare, texts = [], [], [], [], [], []
+            ids, known, base, size, rare, shares = [], [], [], [], [], []
             for content in batch.column(1).to_pylist():
                 w = content.lower().split()
                 values = list(map(table.get, w))
@@ -297,13 +347,11 @@ def _scored(rows: DataFrame, counted: Counted, id_col: str, model: tuple | None)
                 size.append(len(w) + 1)
                 rare.append(missing)
                 if model:
-                    texts.append(w)
                     ids.append(own.text(w))
-            shares = np.array(share.of(texts)) + vocab.logp[vocab.end] if model else []
-            del texts
+                    shares.append(sum(told.get(x, 0.0) for x in w) + vocab.logp[vocab.end])
             scores, at = [None if not model else 0.0] * batch.num_rows, 0
             for group in net.in_groups(ids):
-                scores[at : at + len(group)] = net.score(p, vocab, group, shares[at : at + len(group)])
+                scores[at : at + len(group)] = net.score(p, vocab, group, np.array(shares[at : at + len(group)]))
                 at += len(group)
             keys = pa.array(range(number, number + batch.num_rows), pa.int64())
             number += batch.num_rows
@@ -315,8 +363,13 @@ def _scored(rows: DataFrame, counted: Counted, id_col: str, model: tuple | None)
     kind = rows.schema["id"].dataType.simpleString()
     scored = materialize(rows.select("id", "content", "held").mapInArrow(run, f"key long, id {kind}, held boolean, size long, known long, base double, score double, rare array<string>, times array<long>"), "scored")
     pairs = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
-    found = pairs.join(counted.words.where("c > 0").select("word", "c"), "word").groupBy("key").agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum("times").alias("also"))
-    # A count of 0 adds log10(1) to the base, so words without counts need no row.
+    # A count of 0 adds log10(1) to the base, so without shares words without counts need no row.
+    words = counted.words if model else counted.words.where("c > 0").withColumn("share", F.lit(0.0))
+    found = (
+        pairs.join(words.select("word", "c", "share"), "word")
+        .groupBy("key")
+        .agg(F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("also"), F.sum(F.col("times") * F.col("share")).alias("told"))
+    )
     return scored.drop("rare", "times").join(found, "key", "left").select(
         F.col("id").alias(id_col),
         F.col("held").alias("held_out"),
@@ -324,22 +377,24 @@ def _scored(rows: DataFrame, counted: Counted, id_col: str, model: tuple | None)
         (F.col("known") + F.coalesce("also", F.lit(0))).alias("n_known"),
         F.lit(int(counted.n_all)).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("size") * F.lit(log10(counted.n_all + counted.v_all + 1))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("told", F.lit(0.0))).alias("score"),
     )
 
 
 def base_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """lm_scores without the network: all columns but score."""
     rows = _rows(docs, id_col, text_col)
-    return _scored(rows, Counted(rows, heavy), id_col, None).drop("score")
+    return _scored(rows, Counted(rows), heavy, id_col, None).drop("score")
 
 
 def lm_scores(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """One row per document: hold-out, tokens, known tokens, training tokens, base score and model score."""
     rows = _rows(docs, id_col, text_col)
-    counted = Counted(rows, heavy)
+    counted = Counted(rows)
     own = subwords(path, pattern)
-    counts, pairs, times = subword_counts(counted.words, path, pattern)
+    words = spelt(counted.words, path, pattern)
+    discard(counted.words)
+    counts, pairs = subword_counts(words, own.size)
     counts[-1] = counted.n_train
     inputs = net.input_rows(counts, own.starts)
     seen = np.bincount(inputs, weights=counts, minlength=net.INPUTS)
@@ -349,4 +404,5 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     vocab = net.vocabulary_of(counts, len(counts) - 1, sums, seen, own.starts)
     p = learnt(ids, vocab, counts, int(counts.sum() / net.STEP + counted.n_train)) if counted.n_train else net.initial()
     discard(ids)
-    return _scored(rows, counted, id_col, (path, pattern, vocab, (pairs, times), p))
+    counted.words = word_shares(words, pairs, vocab, PAIRS)
+    return _scored(rows, counted, heavy, id_col, (path, pattern, vocab, p))
