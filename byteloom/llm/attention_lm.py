@@ -89,26 +89,52 @@ class Pairs:
         return self._found(self.pairs, np.ones(len(self.pairs)), before * self.n + ids) > 0
 
 
-def add_rows(total: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
-    """Adds each row of values to the row of total that rows names."""
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
-    ordered = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(rows) else order
-    if len(first):
-        total[ordered[first]] += np.add.reduceat(values[order], first, axis=0)
+def sums_of_rows(number: int, rows: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """For each of so many rows, the sum of the values that rows gives to it."""
+    out = np.zeros((number, values.shape[1]), values.dtype)
+    if len(rows):
+        order = np.argsort(rows.astype(np.uint16), kind="stable")
+        ordered = rows[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        out[ordered[first]] = np.add.reduceat(values.take(order, axis=0), first, axis=0)
+    return out
+
+
+class Neighbours:
+    """How often each embedding row stands right before each other one."""
+
+    def __init__(self) -> None:
+        self.times, self.most = np.zeros(INPUTS * INPUTS, np.uint32), 0
+
+    def see(self, rows: np.ndarray) -> None:
+        for k in range(0, len(rows) - 1, 1 << 18):
+            a, b = rows[k : k + (1 << 18)], rows[k + 1 : k + 1 + (1 << 18)]
+            np.add.at(self.times, a[: len(b)].astype(np.int64) * INPUTS + b, np.uint32(1))
+        self.most += len(rows)
+
+    @property
+    def full(self) -> bool:
+        """Whether the counts may soon be too large for their type."""
+        return self.most > 1 << 31
+
+    def contexts(self, seen: np.ndarray, seed: int = 5) -> np.ndarray:
+        """Sums of the projected neighbours after and before each embedding row; those of parts of a corpus add up. seen: how often each row stands in all of it."""
+        project = np.random.default_rng(seed).standard_normal((INPUTS, CONTEXT)).astype(np.float32)
+        project *= (1 / np.sqrt(seen + 1)).astype(np.float32)[:, None]
+        project = project.astype(np.float64)
+        out = np.zeros((INPUTS, 2 * CONTEXT))
+        for k in range(0, INPUTS, 256):
+            times = self.times[k * INPUTS : (k + 256) * INPUTS].reshape(-1, INPUTS).astype(np.float64)
+            out[k : k + 256, :CONTEXT] = times @ project
+            out[:, CONTEXT:] += times.T @ project[k : k + 256]
+        return out
 
 
 def contexts(rows: np.ndarray, seen: np.ndarray, seed: int = 5) -> np.ndarray:
-    """Sums of the projected neighbours after and before each embedding row; those of parts of a corpus add up. seen: how often each row stands in all of it."""
-    project = np.random.default_rng(seed).standard_normal((INPUTS, CONTEXT)).astype(np.float32)
-    project *= (1 / np.sqrt(seen + 1)).astype(np.float32)[:, None]
-    out = np.zeros((INPUTS, 2 * CONTEXT))
-    for k in range(0, len(rows) - 1, 1 << 18):
-        a, b = rows[k : k + (1 << 18)], rows[k + 1 : k + 1 + (1 << 18)]
-        a = a[: len(b)]
-        add_rows(out[:, :CONTEXT], a, project[b])
-        add_rows(out[:, CONTEXT:], b, project[a])
-    return out
+    """Neighbours.contexts() of rows in a row."""
+    near = Neighbours()
+    near.see(rows)
+    return near.contexts(seen, seed)
 
 
 def cluster(sums: np.ndarray, seen: np.ndarray, number: int = CLASSES) -> np.ndarray:
@@ -168,16 +194,33 @@ def projected(p: dict) -> dict:
     return p | {"rows": np.concatenate([p["E"] @ w, p["E"]], axis=1), "places": np.concatenate([p["P"] @ w, p["P"]], axis=1)}
 
 
+def exponents(z: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """exp of the rows of z, each less some number that is taken from z too, and the sums of exp. The largest of all is that number, which is
+    quickly found; each row's own where a row is so far below it that its sum could lose digits. skip: rows that don't matter."""
+    z -= z.max()
+    e = np.exp(z)
+    total = e @ ONES[: z.shape[1]].astype(z.dtype)
+    low = total < 1e-20
+    if low.any():
+        if skip is not None and not (low & ~skip).any():
+            total[low] = 1
+        else:
+            z -= z.max(axis=1, keepdims=True)
+            np.exp(z, out=e)
+            total = e @ ONES[: z.shape[1]].astype(z.dtype)
+    return e, total
+
+
 def hidden(p: dict, x: np.ndarray, absent: np.ndarray | None) -> tuple:
     """The block for windows x of embedding rows; absent: positions outside the text. The residual stream at the positions from KEEP on, then what its gradients need."""
     n, h0 = len(x), None
     if "rows" in p:
-        all_ = p["rows"][x]
+        all_ = p["rows"].take(x, axis=0)
         all_ += p["places"]
         q, k, v = all_[:, KEEP:, :D], all_[:, :, D : 2 * D], all_[:, :, 2 * D : 3 * D]
         late = all_[:, KEEP:, 3 * D :].reshape(-1, D)
     else:
-        h0 = p["E"][x]
+        h0 = p["E"].take(x, axis=0)
         h0 += p["P"]
         late = np.ascontiguousarray(h0[:, KEEP:]).reshape(-1, D)
         k, v = ((h0.reshape(-1, D) @ p[w]).reshape(n, T, D) for w in ("Wk", "Wv"))
@@ -186,9 +229,9 @@ def hidden(p: dict, x: np.ndarray, absent: np.ndarray | None) -> tuple:
     a += CAUSAL[KEEP:]
     if absent is not None:
         a += np.where(absent, NEG, np.float32(0))[:, None, :]
-    a -= a.max(axis=2, keepdims=True)
-    np.exp(a, out=a)
-    a /= (a.reshape(-1, T) @ ONES[:T].astype(a.dtype)).reshape(n, STEP, 1)
+    a, total = exponents(a.reshape(-1, T), None if absent is None else absent[:, KEEP:].ravel())
+    a /= total[:, None]
+    a = a.reshape(n, STEP, T)
     o = (a @ v).reshape(-1, D)
     h1 = late + o @ p["Wo"]
     m = h1 @ p["W1"]
@@ -196,30 +239,29 @@ def hidden(p: dict, x: np.ndarray, absent: np.ndarray | None) -> tuple:
     np.maximum(m, 0, out=m)
     h2 = h1 + m @ p["W2"]
     h2 += p["b2"]
-    return h2, h0, q, k, v, a, o, h1, m
+    return h2, h0, late, q, k, v, a, o, h1, m
 
 
 def gradients(p: dict, x: np.ndarray, absent: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[float, dict]:
     """Mean loss over the scored positions, and its gradients. No position before KEEP is scored."""
-    h2, h0, q, k, v, a, o, h1, m = hidden(p, x, absent)
+    h2, h0, late, q, k, v, a, o, h1, m = hidden(p, x, absent)
     n, count, scale = len(x), max(1, int(scored.sum())), p["Wq"].dtype.type(D**-0.5)
     use = scored[:, KEEP:].ravel()
-    dz = h2 @ p["U"]
-    dz += p["c"]
-    dz -= dz.max(axis=1, keepdims=True)
-    own = np.arange(len(dz)), y[:, KEEP:].ravel()
-    right = dz[own]
-    total = np.exp(dz, out=dz) @ ONES.astype(dz.dtype)
-    loss = -float((right - np.log(total))[use].sum()) / count
+    z = h2 @ p["U"]
+    z += p["c"]
+    dz, total = exponents(z)
+    own = np.arange(len(z)) * CLASSES + y[:, KEEP:].ravel()
+    loss = -float((z.ravel()[own] - np.log(total))[use].sum()) / count
     weight = (use / count).astype(dz.dtype)
     dz *= (weight / total)[:, None]
-    dz[own] -= weight
-    g = {"U": h2.T @ dz, "c": dz.sum(axis=0)}
+    dz.ravel()[own] -= weight
+    ones = np.ones(len(dz), dz.dtype)
+    g = {"U": h2.T @ dz, "c": ones @ dz}
     dh2 = dz @ p["U"].T
-    g["W2"], g["b2"] = m.T @ dh2, dh2.sum(axis=0)
+    g["W2"], g["b2"] = m.T @ dh2, ones @ dh2
     dm = dh2 @ p["W2"].T
     dm *= m > 0
-    g["W1"], g["b1"] = h1.T @ dm, dm.sum(axis=0)
+    g["W1"], g["b1"] = h1.T @ dm, ones @ dm
     dh1 = dh2 + dm @ p["W1"].T
     g["Wo"] = o.T @ dh1
     do = (dh1 @ p["Wo"].T).reshape(n, STEP, D)
@@ -229,15 +271,14 @@ def gradients(p: dict, x: np.ndarray, absent: np.ndarray, y: np.ndarray, scored:
     ds -= a * (ds.reshape(-1, T) @ ONES[:T].astype(ds.dtype)).reshape(n, STEP, 1)
     # q holds the scale already; the gradient of Wq gets it once more.
     dq, dk = (ds @ k).reshape(-1, D), (ds.transpose(0, 2, 1) @ q).reshape(-1, D)
-    h, late = h0.reshape(-1, D), np.ascontiguousarray(h0[:, KEEP:]).reshape(-1, D)
+    h = h0.reshape(-1, D)
     g["Wq"], g["Wk"], g["Wv"] = late.T @ dq * scale, h.T @ dk, h.T @ dv
     dh0 = dk @ p["Wk"].T
     dh0 += dv @ p["Wv"].T
     dh0 = dh0.reshape(n, T, D)
     dh0[:, KEEP:] += (dh1 + dq @ (p["Wq"].T * scale)).reshape(n, STEP, D)
     g["P"] = dh0.sum(axis=0)
-    g["E"] = np.zeros_like(p["E"])
-    add_rows(g["E"], x.ravel(), dh0.reshape(-1, D))
+    g["E"] = sums_of_rows(len(p["E"]), x.ravel(), dh0.reshape(-1, D))
     return loss, g
 
 
@@ -253,31 +294,35 @@ def windows(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Adam:
-    """Adam on the parameters p, which it changes in place."""
+    """Adam on the parameters p, which become views of one vector."""
 
     def __init__(self, p: dict) -> None:
-        self.p, self.t = p, 0
-        self.m = {k: np.zeros_like(v) for k, v in p.items()}
-        self.s = {k: np.zeros_like(v) for k, v in p.items()}
+        self.p, self.t, self.all = p, 0, packed(p).astype(np.float32)
+        p |= {k: self.all[i : i + p[k].size].reshape(p[k].shape) for k, i in PLACES.items()}
+        #: Ten times the mean of gradients, a hundred times that of their squares.
+        self.m, self.s, self.g, self.d = (np.zeros_like(self.all) for _ in range(4))
 
     def step(self, g: dict, rate: float) -> None:
         self.t += 1
-        up, spread = np.float32(rate / (1 - 0.9**self.t)), np.float32((1 - 0.99**self.t) ** -0.5)
-        for k, d in g.items():
-            m, s = self.m[k], self.s[k]
-            d = d.astype(m.dtype, copy=False)
+        up, spread = np.float32(0.1 * rate / (1 - 0.9**self.t)), np.float32(0.1 * (1 - 0.99**self.t) ** -0.5)
+        np.concatenate([g[k].ravel() for k in NAMES], out=self.g, casting="same_kind")
+        if self.t % 64 == 0:  # arithmetic on the tiniest numbers is slow
+            for x in (self.m, self.s):
+                x[np.abs(x) < 1e-30] = 0
+        # Parts that stay in the cache.
+        for k in range(0, len(self.all), 1 << 14):
+            m, s, g, d, p = (x[k : k + (1 << 14)] for x in (self.m, self.s, self.g, self.d, self.all))
             m *= np.float32(0.9)
-            m += np.float32(0.1) * d
+            m += g
             s *= np.float32(0.99)
-            d = d * d
-            d *= np.float32(0.01)
-            s += d
+            g *= g
+            s += g
             np.sqrt(s, out=d)
             d *= spread
             d += np.float32(1e-8)
             np.divide(m, d, out=d)
             d *= up
-            self.p[k] -= d
+            p -= d
 
 
 def start(share: np.ndarray) -> dict:
@@ -315,6 +360,9 @@ class Learner:
 
 #: The parameters as one vector, the embedding last.
 NAMES = (*sorted(k for k in initial() if k != "E"), "E")
+_SIZES = [initial()[k].size for k in NAMES]
+#: Where each begins.
+PLACES = dict(zip(NAMES, (np.cumsum(_SIZES) - _SIZES).tolist(), strict=True))
 
 
 def packed(p: dict) -> np.ndarray:
@@ -391,9 +439,9 @@ def score(p: dict, vocab: Vocabulary, texts: list[np.ndarray], shares: np.ndarra
         i, gone = at[k : k + chunk], absent[k : k + chunk]
         z = hidden(p, x[i], gone if partly[k : k + chunk].any() else None)[0] @ p["U"]
         z += p["c"]
-        z -= z.max(axis=1, keepdims=True)
-        lp = z[np.arange(len(z)), y[i[:, KEEP:]].ravel()]
-        lp -= np.log(np.exp(z, out=z) @ ONES)
+        total = exponents(z)[1]
+        lp = z.ravel()[np.arange(len(z)) * CLASSES + y[i[:, KEEP:]].ravel()]
+        lp -= np.log(total)
         lp = lp.reshape(-1, STEP)
         lp[gone[:, KEEP:]] = 0
         gains[k : k + chunk] = lp.sum(axis=1, dtype=np.float64)

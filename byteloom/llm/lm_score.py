@@ -23,6 +23,7 @@ from __future__ import annotations
 import base64
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 from math import log10
 
 import numpy as np
@@ -79,6 +80,19 @@ class Subwords(dict):
     def text(self, words: list[bytes]) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2").astype(np.int64)
 
+    def texts(self, words: list[bytes], at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+        """text() of texts of so many words, given one after the other as their places in words."""
+        pieces = list(map(list(map(self.__getitem__, words)).__getitem__, at.tolist()))
+        upto = np.cumsum(sizes).tolist()
+        return [np.frombuffer(b"".join(pieces[a:b]), "<u2").astype(np.int64) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+
+def distinct_words(contents: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct words of a batch of texts, the place of every word among them, and how many words each text has."""
+    words = [x.lower().split() for x in contents]
+    coded = pa.array(list(chain.from_iterable(words)), pa.binary()).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.array(list(map(len, words)), np.int64)
+
 
 _SUBWORDS: dict[str, Subwords] = {}
 
@@ -224,19 +238,25 @@ def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, mos
 
 
 def encoded(rows: DataFrame, path: str, pattern: str, inputs: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(part, ids, sums): the ids of every training document with its round, and a row a task with part -1 and its sums of contexts."""
+    """(part, ids, sums): the ids of every training document with its round, and a row a task, or more, with part -1 and its sums of contexts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, n, sums, end = subwords(path, pattern), 0, None, np.array([len(inputs) - 1])
+        own, n, near, end = subwords(path, pattern), 0, None, np.array([len(inputs) - 1])
         for batch in batches:
-            texts = [own.text(x.lower().split()) for x in batch.column(0).to_pylist()]
+            if not batch.num_rows:
+                continue
+            words, at, sizes = distinct_words(batch.column(0).to_pylist())
+            texts = own.texts(words.to_pylist(), at, sizes)
             for group in net.in_groups(texts):
-                more = net.contexts(inputs[np.concatenate([end, *(z for x in group for z in (x, end))])], seen)
-                sums = more if sums is None else sums + more
+                near = near or net.Neighbours()
+                near.see(inputs[np.concatenate([end, *(z for x in group for z in (x, end))])])
+                if near.full:
+                    yield _encoded([-1], [None], [near.contexts(seen).tobytes()])
+                    near = None
             yield _encoded([k % ROUNDS for k in range(n, n + len(texts))], [x.astype("<u2").tobytes() for x in texts], [None] * len(texts))
             n += len(texts)
-        if sums is not None:
-            yield _encoded([-1], [None], [sums.tobytes()])
+        if near:
+            yield _encoded([-1], [None], [near.contexts(seen).tobytes()])
 
     return materialize(rows.where(~F.col("held")).select("content").mapInArrow(run, "part int, ids binary, sums binary"), "ids")
 
@@ -328,8 +348,9 @@ def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, counts, told), model = shared.value
-        table = dict(zip(common, np.log10(counts + 1.0).tolist(), strict=True))
-        told = dict(zip(common, told.tolist(), strict=True))
+        table = {w: k for k, w in enumerate(common)}
+        # The last are for words that are not in the table.
+        logs, told = np.append(np.log10(counts + 1.0), 0.0), np.append(told, 0.0)
         if model:
             path, pattern, vocab, p = model
             own = subwords(path, pattern)
@@ -337,26 +358,29 @@ def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: t
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            ids, known, base, size, rare, shares = [], [], [], [], [], []
-            for content in batch.column(1).to_pylist():
-                w = content.lower().split()
-                values = list(map(table.get, w))
-                missing = Counter(x for x, v in zip(w, values, strict=True) if v is None)
-                base.append(sum(v for v in values if v) + end)
-                known.append(sum(1 for v in values if v) + (n_train > 0))
-                size.append(len(w) + 1)
-                rare.append(missing)
-                if model:
-                    ids.append(own.text(w))
-                    shares.append(sum(told.get(x, 0.0) for x in w) + vocab.logp[vocab.end])
-            scores, at = [None if not model else 0.0] * batch.num_rows, 0
-            for group in net.in_groups(ids):
-                scores[at : at + len(group)] = net.score(p, vocab, group, np.array(shares[at : at + len(group)]))
-                at += len(group)
-            keys = pa.array(range(number, number + batch.num_rows), pa.int64())
-            number += batch.num_rows
+            n = batch.num_rows
+            if not n:
+                continue
+            distinct, at, sizes = distinct_words(batch.column(1).to_pylist())
+            words, doc = distinct.to_pylist(), np.repeat(np.arange(n), sizes)
+            place = np.array([table.get(w, -1) for w in words], np.int64)
+            value = logs[place][at]
+            base, known = np.bincount(doc, value, n) + end, np.bincount(doc[value > 0], minlength=n) + int(n_train > 0)
+            lost = place[at] < 0
+            rare, times = np.unique(doc[lost] * max(1, len(words)) + at[lost], return_counts=True)
+            upto = pa.array(np.searchsorted(rare, np.arange(n + 1) * max(1, len(words))), pa.int32())
+            rare = pa.ListArray.from_arrays(upto, distinct.take(pa.array(rare % max(1, len(words)))).cast(pa.string()))
+            times = pa.ListArray.from_arrays(upto, pa.array(times, pa.int64()))
+            scores, done = [None] * n if not model else np.zeros(n), 0
+            if model:
+                shares = np.bincount(doc, told[place][at], n) + vocab.logp[vocab.end]
+                for group in net.in_groups(own.texts(words, at, sizes)):
+                    scores[done : done + len(group)] = net.score(p, vocab, group, shares[done : done + len(group)])
+                    done += len(group)
+            keys = pa.array(range(number, number + n), pa.int64())
+            number += n
             yield pa.RecordBatch.from_arrays(
-                [keys, batch.column(0), batch.column(2), pa.array(size, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), pa.array([[x.decode() for x in m] for m in rare], pa.list_(pa.string())), pa.array([list(m.values()) for m in rare], pa.list_(pa.int64()))],
+                [keys, batch.column(0), batch.column(2), pa.array(sizes + 1), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores, pa.float64()), rare, times],
                 ["key", "id", "held", "size", "known", "base", "score", "rare", "times"],
             )
 
