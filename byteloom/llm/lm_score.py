@@ -8,8 +8,9 @@ too long for the table can be hot there, and the join's other side has one row a
 The attention model works on the words' subword ids. Shares of ids in their classes, and of ids after
 others within a word, come from the word counts of all training documents. The shares of a word's ids add
 up to one number, worked out once a distinct word: the PAIRS commonest pairs of ids are broadcast, the
-others meet their counts in a join. Documents get their words' numbers as they get their counts. Classes come from the neighbours of every id in all training documents, and the network is
-trained on every window of all of them: the documents are dealt into ROUNDS rounds, in each of which
+others meet their counts in a join. Documents get their words' numbers as they get their counts; they are
+encoded once, and scored by their ids, as a word's ids are its own and the first of them shows where it begins. Classes
+come from the neighbours of every id in all training documents, and the network is trained on every window of all of them: the documents are dealt into ROUNDS rounds, in each of which
 every task goes over its own documents of the round from the same weights, and the tasks' weights are
 averaged, an embedding row by how often a task used it.
 
@@ -21,7 +22,6 @@ count is 0; a text of any length is scored whole, in groups of bounded windows;
 from __future__ import annotations
 
 import base64
-from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 from math import log10
@@ -44,6 +44,8 @@ ROUNDS, RATE, FAN = 6, 4e-3, 4
 #: Longer words are never broadcast but joined, so the table has at most HEAVY * HEAVY_BYTES bytes of words.
 HEAVY_BYTES = 256
 CACHE_SIZE, CACHE_BYTES = 1 << 18, 64
+#: Words that the tokenizer gets at once.
+TOGETHER = 512
 #: Pairs of ids within a word whose counts are broadcast, 16 bytes each; the others are joined.
 PAIRS = 1 << 19
 #: Words' shares are multiples of this, so that their sums are exact in any order.
@@ -69,22 +71,67 @@ class Subwords(dict):
         self.starts[[self.size - 1, *(i for b, i in ranks.items() if b[:1] == b" ")]] = True
         self.encode = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(" " + word.decode("utf-8", "replace")), "<u2").tobytes()
-        if len(word) <= CACHE_BYTES:
-            if len(self) >= CACHE_SIZE:
-                self.clear()
-            self[word] = ids
-        return ids
+    def spell(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word. Words behind one another, with a space between, have the ids that each has alone, unless there is other white space at their ends."""
+        out = []
+        for k in range(0, len(words), TOGETHER):
+            text = b" ".join(words[k : k + TOGETHER]).decode("utf-8", "replace")
+            alone = text.split(" ")
+            if alone != text.split():
+                out += [np.array(self.encode(" " + w), "<u2").tobytes() for w in alone]
+                continue
+            ids = np.array(self.encode(" " + text), "<u2")
+            out += cut(ids.tobytes(), [*(2 * np.flatnonzero(self.starts[ids])).tolist(), 2 * len(ids)])
+        return out
+
+    def many(self, words: list[bytes]) -> list[bytes]:
+        """spell() that remembers short words."""
+        found = list(map(self.get, words))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        for k, ids in zip(new, self.spell([words[k] for k in new]), strict=True):
+            found[k] = ids
+        if len(self) + len(new) > CACHE_SIZE:
+            self.clear()
+        self.update((words[k], found[k]) for k in new[:CACHE_SIZE] if len(words[k]) <= CACHE_BYTES)
+        return found
 
     def text(self, words: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u2").astype(np.int64)
+        return np.frombuffer(b"".join(self.many(words)), "<u2").astype(np.int64)
 
-    def texts(self, words: list[bytes], at: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
-        """text() of texts of so many words, given one after the other as their places in words."""
-        pieces = list(map(list(map(self.__getitem__, words)).__getitem__, at.tolist()))
+    def texts(self, words: list[bytes], at: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The ids of texts of so many words, given one after the other as their places in words."""
+        pieces = list(map(self.many(words).__getitem__, at.tolist()))
         upto = np.cumsum(sizes).tolist()
-        return [np.frombuffer(b"".join(pieces[a:b]), "<u2").astype(np.int64) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+        return [b"".join(pieces[a:b]) for a, b in zip([0, *upto[:-1]], upto, strict=True)]
+
+
+def cut(raw: bytes, at: list[int]) -> list[bytes]:
+    """raw from each place to the next."""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
+def flat(array: pa.Array) -> tuple[bytes, np.ndarray]:
+    """All bytes of a binary array without nulls, and where each value begins, and the end."""
+    if not len(array):
+        return b"", np.zeros(1, np.int64)
+    _, offsets, data = array.buffers()
+    at = np.frombuffer(offsets, np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)
+    return data.slice(at[0], at[-1] - at[0]).to_pybytes() if data else b"", at - at[0]
+
+
+def listed(array: pa.Array) -> list[bytes]:
+    """to_pylist() of a binary array without nulls, in less time."""
+    raw, at = flat(array)
+    return cut(raw, at.tolist())
+
+
+def distinct_spelt(texts: pa.Array, starts: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """As distinct_words(), from the texts' ids; a word is its ids, the first of which no other of them can be."""
+    raw, at = flat(texts)
+    first = np.flatnonzero(starts[np.frombuffer(raw, "<u2")])
+    offsets = np.append(2 * first, len(raw)).astype(np.int32)
+    coded = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.diff(np.searchsorted(first, at // 2))
 
 
 def distinct_words(contents: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -107,24 +154,28 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """(word, c, n): how often each word stands in training documents, and in all. rows: content, held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        every: Counter[bytes] = Counter()
-        train: Counter[bytes] = Counter()
+        held: list[pa.Table] = []
+        rows = 0
+
+        def out(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from table.set_column(0, "word", table["word"].cast(pa.string())).to_batches(max_chunksize=1 << 16)
 
-        def out() -> pa.RecordBatch:
-            words = list(every)
-            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([train[w] for w in words], pa.int64()), pa.array([every[w] for w in words], pa.int64())], ["word", "c", "n"])
+        def together() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum"), ("n", "sum")]).rename_columns(["word", "c", "n"])
 
         for batch in batches:
-            for content, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words = content.lower().split()
-                every.update(words)
-                if not held:
-                    train.update(words)
-                if len(every) > FLUSH:
-                    yield out()
-                    every.clear()
-                    train.clear()
-        yield out()
+            words, at, sizes = distinct_words(listed(batch.column(0)))
+            train = np.repeat(~batch.column(1).to_numpy(zero_copy_only=False), sizes)
+            c, n = (np.bincount(x, minlength=len(words)).astype(np.int64) for x in (at[train], at))
+            held.append(pa.table([words, c, n], ["word", "c", "n"]))
+            rows += len(words)
+            if rows > FLUSH:
+                held = [together()]
+                if held[0].num_rows > FLUSH // 2:
+                    yield from out(held.pop())
+                rows = sum(t.num_rows for t in held)
+        if held:
+            yield from out(together())
 
     counted = rows.mapInArrow(run, "word string, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
     return materialize(counted, "words")
@@ -149,7 +200,7 @@ def spelt(words: DataFrame, path: str, pattern: str) -> DataFrame:
         own, task = subwords(path, pattern), TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
         for batch in batches:
-            ids = [np.array(own.encode(" " + w), "<u2").tobytes() for w in batch.column(0).to_pylist()]
+            ids = own.spell(listed(batch.column(0).cast(pa.binary())))
             yield pa.RecordBatch.from_arrays([pa.array(range(number, number + len(ids)), pa.int64()), *batch.columns, pa.array(ids, pa.binary())], ["key", "word", "c", "n", "ids"])
             number += len(ids)
 
@@ -158,9 +209,8 @@ def spelt(words: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def chained(ids: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For words as uint16 bytes: the id before each id (the end before a word's first), the ids in a row, and the index of each word's first."""
-    row = np.frombuffer(b"".join(ids.to_pylist()), "<u2").astype(np.int64)
-    sizes = pc.binary_length(ids).to_numpy() // 2
-    first = np.cumsum(sizes) - sizes
+    raw, at = flat(ids)
+    row, first = np.frombuffer(raw, "<u2").astype(np.int64), at[:-1] // 2
     before = np.concatenate([row[:1], row[:-1]])
     before[first] = end
     return before, row, first
@@ -188,7 +238,7 @@ def subword_counts(words: DataFrame, size: int) -> tuple[np.ndarray, DataFrame]:
 
 
 def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, most: int) -> DataFrame:
-    """(word, c, n, share): the sum of log10 of the shares of each word's ids. words, counted: from spelt() and subword_counts(), deleted here; most: how many pairs are broadcast."""
+    """(word, ids, c, n, share): the sum of log10 of the shares of each word's ids. words, counted: from spelt() and subword_counts(), deleted here; most: how many pairs are broadcast."""
     spark, size, end, given = words.sparkSession, len(vocab.classes), vocab.end, counted
     counted = given.where(F.col("pair") < end * size)
 
@@ -214,7 +264,7 @@ def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, mos
             share[first], rest[first] = pairs.vocab.logp[ids[first]], False
             upto = np.concatenate([[0], np.cumsum(np.add.reduceat(rest.astype(np.int32), first))])
             others = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array((before * size + ids)[rest], pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.add.reduceat(share, first)), others], ["key", "word", "c", "n", "share", "rest"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.add.reduceat(share, first)), others], ["key", "word", "c", "n", "ids", "share", "rest"])
 
     def gains(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """What a pair's count adds to the share that it has without one."""
@@ -223,7 +273,7 @@ def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, mos
             more = np.log10(1 + batch.column(1).to_numpy() / (net.SMOOTH * 10.0 ** vocab.logp[pair % size]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(more)], ["pair", "more"])
 
-    told = partly = words.mapInArrow(run, "key long, word string, c long, n long, share double, rest array<long>")
+    told = partly = words.mapInArrow(run, "key long, word string, c long, n long, ids binary, share double, rest array<long>")
     others = counted.where(F.col("n") < least)
     share = F.col("share")
     if not others.isEmpty():
@@ -231,38 +281,46 @@ def word_shares(words: DataFrame, counted: DataFrame, vocab: net.Vocabulary, mos
         # A pair is in no more rows here than its times in all documents, which are fewer than those of the broadcast ones.
         gained = told.select("key", F.explode("rest").alias("pair")).join(others.where("c > 0").select("pair", "c").mapInArrow(gains, "pair long, more double"), "pair")
         told, share = told.join(gained.groupBy("key").agg(F.sum("more").alias("more")), "key", "left"), share + F.coalesce("more", F.lit(0.0))
-    out = materialize(told.select("word", "c", "n", (F.rint(share / GRID) * GRID).alias("share")), "shares")
+    out = materialize(told.select("word", "ids", "c", "n", (F.rint(share / GRID) * GRID).alias("share")), "shares")
     discard(words, given, partly)
     shared.unpersist()
     return out
 
 
 def encoded(rows: DataFrame, path: str, pattern: str, inputs: np.ndarray, seen: np.ndarray) -> DataFrame:
-    """(part, ids, sums): the ids of every training document with its round, and a row a task, or more, with part -1 and its sums of contexts."""
+    """(id, held, part, ids, sums): the ids of every document, with its round if it trains, and a row a task, or more, with part -1 and the sums of contexts of those that train."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, n, near, end = subwords(path, pattern), 0, None, np.array([len(inputs) - 1])
+
+        def out(ids: pa.Array, held: pa.Array, part: list[int | None], texts: list[bytes | None], sums: list[bytes | None]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, held, pa.array(part, pa.int32()), pa.array(texts, pa.binary()), pa.array(sums, pa.binary())], ["id", "held", "part", "ids", "sums"])
+
+        def summary() -> pa.RecordBatch:
+            return out(pa.nulls(1, kind), pa.nulls(1, pa.bool_()), [-1], [None], [near.contexts(seen).tobytes()])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            words, at, sizes = distinct_words(batch.column(0).to_pylist())
-            texts = own.texts(words.to_pylist(), at, sizes)
-            for group in net.in_groups(texts):
+            kind = batch.schema.field(0).type
+            words, at, sizes = distinct_words(listed(batch.column(1)))
+            texts, part = own.texts(listed(words), at, sizes), []
+            for held in batch.column(2).to_pylist():
+                part.append(None if held else n % ROUNDS)
+                n += not held
+            train = [np.frombuffer(x, "<u2") for x, k in zip(texts, part, strict=True) if k is not None]
+            for group in net.in_groups(train):
                 near = near or net.Neighbours()
                 near.see(inputs[np.concatenate([end, *(z for x in group for z in (x, end))])])
                 if near.full:
-                    yield _encoded([-1], [None], [near.contexts(seen).tobytes()])
+                    yield summary()
                     near = None
-            yield _encoded([k % ROUNDS for k in range(n, n + len(texts))], [x.astype("<u2").tobytes() for x in texts], [None] * len(texts))
-            n += len(texts)
+            yield out(batch.column(0), batch.column(2), part, texts, [None] * len(texts))
         if near:
-            yield _encoded([-1], [None], [near.contexts(seen).tobytes()])
-
-    return materialize(rows.where(~F.col("held")).select("content").mapInArrow(run, "part int, ids binary, sums binary"), "ids")
-
+            yield summary()
 
-def _encoded(part: list[int], ids: list[bytes | None], sums: list[bytes | None]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(ids, pa.binary()), pa.array(sums, pa.binary())], ["part", "ids", "sums"])
+    id_type = rows.schema["id"].dataType.simpleString()
+    return materialize(rows.select("id", "content", "held").mapInArrow(run, f"id {id_type}, held boolean, part int, ids binary, sums binary"), "ids")
 
 
 def summed(vectors: DataFrame) -> np.ndarray | None:
@@ -333,27 +391,25 @@ class Counted:
         self.n_all, self.v_all = total + self.n_train, distinct + (self.n_train > 0)
 
 
-def common_words(words: DataFrame, heavy: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def common_words(words: DataFrame, heavy: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """The commonest words, their counts and shares (0 without)."""
     share = F.col("share") if "share" in words.columns else F.lit(0.0)
     chosen = words.where((F.col("n") >= threshold(words, heavy)) & (F.octet_length("word") <= HEAVY_BYTES)).select("word", "c", share.alias("share")).toArrow()
-    return [w.encode() for w in chosen["word"].to_pylist()], chosen["c"].to_numpy(), chosen["share"].to_numpy()
+    return chosen["word"].combine_chunks().cast(pa.binary()), chosen["c"].to_numpy(), chosen["share"].to_numpy()
 
 
 def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: tuple | None) -> DataFrame:
-    """A row a document: the base, and the score of model (tokenizer's path and pattern, vocabulary, parameters) if there is one; the words then have shares."""
+    """A row a document: the base, and the score of model (which ids begin a word, vocabulary, parameters) if there is one; rows then hold ids instead of content, and a word is its ids and has a share."""
     spark, n_train = rows.sparkSession, counted.n_train
     shared = spark.sparkContext.broadcast((common_words(counted.words, heavy), model))
     end = log10(n_train + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (common, counts, told), model = shared.value
-        table = {w: k for k, w in enumerate(common)}
         # The last are for words that are not in the table.
         logs, told = np.append(np.log10(counts + 1.0), 0.0), np.append(told, 0.0)
         if model:
-            path, pattern, vocab, p = model
-            own = subwords(path, pattern)
+            starts, vocab, p = model
             p = net.projected(p)
         task = TaskContext.get()
         number = (task.partitionId() if task else 0) << 40
@@ -361,20 +417,21 @@ def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: t
             n = batch.num_rows
             if not n:
                 continue
-            distinct, at, sizes = distinct_words(batch.column(1).to_pylist())
-            words, doc = distinct.to_pylist(), np.repeat(np.arange(n), sizes)
-            place = np.array([table.get(w, -1) for w in words], np.int64)
+            distinct, at, sizes = distinct_spelt(batch.column(1), starts) if model else distinct_words(listed(batch.column(1)))
+            doc, most = np.repeat(np.arange(n), sizes), max(1, len(distinct))
+            place = pc.index_in(distinct, value_set=common).fill_null(-1).to_numpy()
             value = logs[place][at]
             base, known = np.bincount(doc, value, n) + end, np.bincount(doc[value > 0], minlength=n) + int(n_train > 0)
             lost = place[at] < 0
-            rare, times = np.unique(doc[lost] * max(1, len(words)) + at[lost], return_counts=True)
-            upto = pa.array(np.searchsorted(rare, np.arange(n + 1) * max(1, len(words))), pa.int32())
-            rare = pa.ListArray.from_arrays(upto, distinct.take(pa.array(rare % max(1, len(words)))).cast(pa.string()))
+            rare, times = np.unique(doc[lost] * most + at[lost], return_counts=True)
+            upto = pa.array(np.searchsorted(rare, np.arange(n + 1) * most), pa.int32())
+            rare = distinct.take(pa.array(rare % most))
+            rare = pa.ListArray.from_arrays(upto, rare if model else rare.cast(pa.string()))
             times = pa.ListArray.from_arrays(upto, pa.array(times, pa.int64()))
             scores, done = [None] * n if not model else np.zeros(n), 0
             if model:
                 shares = np.bincount(doc, told[place][at], n) + vocab.logp[vocab.end]
-                for group in net.in_groups(own.texts(words, at, sizes)):
+                for group in net.in_groups([np.frombuffer(x, "<u2") for x in listed(batch.column(1))]):
                     scores[done : done + len(group)] = net.score(p, vocab, group, shares[done : done + len(group)])
                     done += len(group)
             keys = pa.array(range(number, number + n), pa.int64())
@@ -384,8 +441,8 @@ def _scored(rows: DataFrame, counted: Counted, heavy: int, id_col: str, model: t
                 ["key", "id", "held", "size", "known", "base", "score", "rare", "times"],
             )
 
-    kind = rows.schema["id"].dataType.simpleString()
-    scored = materialize(rows.select("id", "content", "held").mapInArrow(run, f"key long, id {kind}, held boolean, size long, known long, base double, score double, rare array<string>, times array<long>"), "scored")
+    id_type, word_type = (t.dataType.simpleString() for t in (rows.schema["id"], counted.words.schema["word"]))
+    scored = materialize(rows.select("id", "ids" if model else "content", "held").mapInArrow(run, f"key long, id {id_type}, held boolean, size long, known long, base double, score double, rare array<{word_type}>, times array<long>"), "scored")
     pairs = scored.select("key", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("key", F.col("x.rare").alias("word"), F.col("x.times").alias("times"))
     # A count of 0 adds log10(1) to the base, so without shares words without counts need no row.
     words = counted.words if model else counted.words.where("c > 0").withColumn("share", F.lit(0.0))
@@ -427,6 +484,7 @@ def lm_scores(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     sums = np.zeros((net.INPUTS, 2 * net.CONTEXT)) if sums is None else sums.reshape(net.INPUTS, -1)
     vocab = net.vocabulary_of(counts, len(counts) - 1, sums, seen, own.starts)
     p = learnt(ids, vocab, counts, int(counts.sum() / net.STEP + counted.n_train)) if counted.n_train else net.initial()
+    counted.words = word_shares(words, pairs, vocab, PAIRS).select(F.col("ids").alias("word"), "c", "n", "share")
+    scores = _scored(ids.where("ids IS NOT NULL"), counted, heavy, id_col, (own.starts, vocab, p))
     discard(ids)
-    counted.words = word_shares(words, pairs, vocab, PAIRS)
-    return _scored(rows, counted, heavy, id_col, (path, pattern, vocab, p))
+    return scores

@@ -1,9 +1,14 @@
 """The quicker forms of the language model's steps give what the plain ones give."""
 
+import zlib
+from collections import Counter
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from byteloom.llm import attention_lm, lm_score
+from byteloom.llm import queries as q
 
 
 def test_exponents_of_rows_far_apart():
@@ -53,3 +58,61 @@ def test_distinct_words():
     words, at, sizes = lm_score.distinct_words(texts)
     assert sizes.tolist() == [3, 0, 2]
     assert [words.to_pylist()[k] for k in at] == [b"a", b"b", b"a", b"c\xc3\xa9", b"b\x1cb\x85"]
+
+
+@pytest.fixture
+def own():
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    return lm_score.Subwords(q.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def test_words_spelt_together_as_alone(own):
+    odd = ["a", "don't", "'s", "7", "é", "中文", "x\xa0", "\xa0y", "\xa0", "　z ", "\x1c", "\x85b", "..", "\x00", "zq" * 300]
+    words = [(a + b).encode() for a in odd for b in odd] * 5
+    calls, encode = [], own.encode
+    own.encode = lambda text: (calls.append(text), encode(text))[1]
+    want = [np.array(encode(" " + w.decode()), "<u2").tobytes() for w in words]
+    assert own.spell(words) == want
+    assert own.many(words) == want and own.many(words) == want
+    calls.clear()
+    plain = [f"w{k}".encode() for k in range(3 * lm_score.TOGETHER)]
+    assert own.spell(plain) == [np.array(encode(" " + w.decode()), "<u2").tobytes() for w in plain]
+    assert len(calls) == 3
+
+
+def test_words_found_again_in_ids(own):
+    texts = [b" A b\x0b a ", b"", b"c\xc3\xa9 b\x1cb\x85 \xc2\xa0 \xc2\xa0b unheardofword", b" \n", b"a"]
+    words, at, sizes = lm_score.distinct_words(texts)
+    spelt = own.texts(words.to_pylist(), at, sizes)
+    assert [x for x in spelt if not x] == [b"", b""]
+    # A slice: the values don't begin where the buffer does.
+    again, where, n = lm_score.distinct_spelt(pa.array([b"ab", *spelt], pa.binary())[1:], own.starts)
+    assert n.tolist() == sizes.tolist() and len(again) == len(words)
+    ids = own.spell(words.to_pylist())
+    assert [again.to_pylist()[k] for k in where] == [ids[k] for k in at]
+    assert lm_score.distinct_spelt(pa.array([], pa.binary()), own.starts)[2].tolist() == []
+    assert lm_score.distinct_spelt(pa.array([b""], pa.binary()), own.starts)[2].tolist() == [0]
+
+
+@pytest.mark.parametrize("flush", [1, 7, 500_000])
+def test_word_counts_whatever_a_task_holds(spark, monkeypatch, flush):
+    monkeypatch.setattr(lm_score, "FLUSH", flush)
+    texts = [" ".join(f"w{k * j % 41}" for j in range(k % 13)) for k in range(1500)] + ["", "A a\x0bB"]
+    rows = lm_score._rows(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1), "doc_id", "text").select("content", "held")
+    every, train = Counter(), Counter()
+    for k, t in enumerate(texts):
+        every.update(t.lower().split())
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            train.update(t.lower().split())
+    assert {r["word"]: (r["c"], r["n"]) for r in lm_score.word_counts(rows).collect()} == {w: (train[w], n) for w, n in every.items()}
+
+
+def test_documents_are_encoded_once(spark, monkeypatch):
+    """Scoring reads the ids that training read, those of held-out documents too."""
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(attention_lm, "LEAST", 1)
+    seen, scored = [], lm_score._scored
+    monkeypatch.setattr(lm_score, "_scored", lambda rows, *more: (seen.append((rows.columns, rows.count())), scored(rows, *more))[1])
+    docs = spark.range(70).selectExpr("id AS doc_id", "concat('text number ', id) AS text").repartition(3)
+    assert lm_score.lm_scores(docs, q.tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).count() == 70
+    assert "ids" in seen[0][0] and "content" not in seen[0][0] and seen[0][1] == 70
