@@ -188,10 +188,10 @@ def initial(seed: int = 3) -> dict[str, np.ndarray]:
 
 
 def projected(p: dict) -> dict:
-    """p with every embedding row's and position's query, key and value beside it, so that scoring looks them up."""
+    """p with every embedding row's and position's query, key and value (already through Wo) beside it, so that scoring looks them up; c then holds b2 too."""
     scale = p["Wq"].dtype.type(D**-0.5)
-    w = np.concatenate([p["Wq"] * scale, p["Wk"], p["Wv"]], axis=1)
-    return p | {"rows": np.concatenate([p["E"] @ w, p["E"]], axis=1), "places": np.concatenate([p["P"] @ w, p["P"]], axis=1)}
+    w = np.concatenate([p["Wq"] * scale, p["Wk"], p["Wv"] @ p["Wo"]], axis=1)
+    return p | {"c": p["b2"] @ p["U"] + p["c"], "rows": np.concatenate([p["E"] @ w, p["E"]], axis=1), "places": np.concatenate([p["P"] @ w, p["P"]], axis=1)}
 
 
 def exponents(z: np.ndarray, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -228,17 +228,21 @@ def hidden(p: dict, x: np.ndarray, absent: np.ndarray | None) -> tuple:
     a = q @ k.transpose(0, 2, 1)
     a += CAUSAL[KEEP:]
     if absent is not None:
-        a += np.where(absent, NEG, np.float32(0))[:, None, :]
+        partly = absent.any(axis=1)
+        a[partly] += np.where(absent[partly], NEG, np.float32(0))[:, None, :]
     a, total = exponents(a.reshape(-1, T), None if absent is None else absent[:, KEEP:].ravel())
     a /= total[:, None]
     a = a.reshape(n, STEP, T)
     o = (a @ v).reshape(-1, D)
-    h1 = late + o @ p["Wo"]
+    h1 = o if h0 is None else o @ p["Wo"]
+    h1 += late
     m = h1 @ p["W1"]
     m += p["b1"]
     np.maximum(m, 0, out=m)
-    h2 = h1 + m @ p["W2"]
-    h2 += p["b2"]
+    h2 = m @ p["W2"]
+    h2 += h1
+    if h0 is not None:
+        h2 += p["b2"]
     return h2, h0, late, q, k, v, a, o, h1, m
 
 
@@ -262,7 +266,8 @@ def gradients(p: dict, x: np.ndarray, absent: np.ndarray, y: np.ndarray, scored:
     dm = dh2 @ p["W2"].T
     dm *= m > 0
     g["W1"], g["b1"] = h1.T @ dm, ones @ dm
-    dh1 = dh2 + dm @ p["W1"].T
+    dh1 = dm @ p["W1"].T
+    dh1 += dh2
     g["Wo"] = o.T @ dh1
     do = (dh1 @ p["Wo"].T).reshape(n, STEP, D)
     dv = (a.transpose(0, 2, 1) @ do).reshape(-1, D)
@@ -276,7 +281,8 @@ def gradients(p: dict, x: np.ndarray, absent: np.ndarray, y: np.ndarray, scored:
     dh0 = dk @ p["Wk"].T
     dh0 += dv @ p["Wv"].T
     dh0 = dh0.reshape(n, T, D)
-    dh0[:, KEEP:] += (dh1 + dq @ (p["Wq"].T * scale)).reshape(n, STEP, D)
+    dh1 += dq @ (p["Wq"].T * scale)
+    dh0[:, KEEP:] += dh1.reshape(n, STEP, D)
     g["P"] = dh0.sum(axis=0)
     g["E"] = sums_of_rows(len(p["E"]), x.ravel(), dh0.reshape(-1, D))
     return loss, g

@@ -53,6 +53,28 @@ def test_adam_against_the_formula():
     assert all(np.abs(p[k] - want[k]).max() < 1e-4 for k in p)
 
 
+def test_scores_against_training_formula():
+    """What scoring looks up, with Wo and b2 in it, gives what training computes."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(0, 900, n) for n in (0, 3, 24, 40, 90)]
+    vocab = attention_lm.vocabulary(np.ones(1000), 999, np.concatenate(texts))
+    p = {k: v.astype(np.float64) + 0.1 * rng.standard_normal(v.shape) for k, v in attention_lm.initial().items()}
+    inputs, targets, lengths = attention_lm.joined(vocab, texts)
+    at, absent, text = attention_lm.windows(lengths)
+    h = attention_lm.hidden(p, vocab.inputs[inputs][at], absent)
+    assert h[1] is not None
+    told = attention_lm.projected(p)
+    assert told["places"].shape == (attention_lm.T, 4 * attention_lm.D)
+    assert told["rows"][:, 2 * attention_lm.D : 3 * attention_lm.D] == pytest.approx(p["E"] @ p["Wv"] @ p["Wo"])
+    z = h[0] @ p["U"] + p["c"]
+    z -= z.max(axis=1, keepdims=True)
+    y = vocab.classes[targets][at[:, attention_lm.KEEP :]].ravel()
+    lp = (z[np.arange(len(z)), y] - np.log(np.exp(z).sum(axis=1))).reshape(len(at), -1)
+    lp[absent[:, attention_lm.KEEP :]] = 0
+    want = np.bincount(text, lp.sum(axis=1)) / np.log(10) + np.add.reduceat(vocab.logp[targets], np.cumsum(lengths) - lengths)
+    assert attention_lm.score(p, vocab, texts) == pytest.approx(want, rel=1e-9)
+
+
 def test_distinct_words():
     texts = [b" A b\x0b a ", b"", b"c\xc3\xa9 b\x1cb\x85"]
     words, at, sizes = lm_score.distinct_words(texts)
